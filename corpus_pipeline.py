@@ -26,9 +26,11 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes."""
-    mixed = mixing.mix(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "source")))
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # whatever a table calls its columns
+    safe = docs.toDF(*names.values())
+    mixed = mixing.mix(safe, id_col=names["doc_id"], text_col=names["text"], source_col=names["source"], keep=tuple(names.values()))
     copies = mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return copies.select(*docs.columns)
+    return copies.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +78,32 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def without(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` whose names, in any case, are none of ``names``."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def quoted(name: str) -> Column:
+    """A column by its literal name, dots and back-ticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def derived(df: DataFrame, column: str, drop: tuple[str, ...], to: str, kind: DataType, run: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """``df`` without the columns ``drop``, and a column ``to`` (in place of any of that name) that ``run`` makes
+    from batches of ``column``. Inside the task columns have names of their own, so any names will do."""
+    rest = without(df, to, *drop)
+    names = [f"c{i}" for i in range(len(rest))]
+    rows = df.select(*[quoted(c).alias(n) for c, n in zip(rest, names)], quoted(column).alias("given"))
+    schema = StructType([*rows.schema.fields[:-1], StructField("made", kind)])
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], run(b.columns[-1])], [*names, "made"])
+
+    return rows.mapInArrow(batches, schema).toDF(*rest, to)
+
+
 class Memo(dict):
     """A dictionary that remembers between ``keep`` and twice as many recently added or used entries."""
 

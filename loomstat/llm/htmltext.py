@@ -17,12 +17,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from .common import derived
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("script style noscript template head title nav footer aside form button select textarea option iframe object svg canvas dialog menu map audio video".split())
@@ -130,6 +131,9 @@ def smoothed(values: list[float], radius: int = 2, sigma: float = 1.0) -> list[f
 def main_text(html: str, threshold: float = 0.5) -> str:
     """Content lines of a page in its order, joined by newlines."""
     parser = Lines()
+    tail = html.rfind("<")
+    if tail >= 0 and ">" not in html[tail:] and re.match("[A-Za-z/!?]", html[tail + 1 : tail + 2]):
+        html = html[:tail]  # a tag that the page's end cuts off
     parser.feed(html)
     parser.close()
     lines = [x for x in parser.lines if x[3]] or parser.lines
@@ -147,16 +151,9 @@ def main_text(html: str, threshold: float = 0.5) -> str:
 
 
 def extract(pages: DataFrame, html_col: str = "html", to: str = "text") -> DataFrame:
-    """``pages`` without the html, with a column ``to``: the main text."""
-    if to != html_col and to in pages.columns:
-        raise ValueError(f"the table has a column {to} already")
-    rest = [c for c in pages.columns if c != html_col]
-    rows = pages.select(*[F.col(f"`{c}`") for c in rest], F.col(html_col).alias("__html"))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "__html")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = pa.array([main_text(x.as_py()) if x.is_valid else "" for x in b.columns[-1]], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts], [*b.schema.names[:-1], to])
-
-    return rows.mapInArrow(run, f"{kinds}`{to}` string")
+    """``pages`` without the html, with a column ``to``: the main text. A column of that name gives way."""
+
+    def run(htmls: pa.Array) -> pa.Array:
+        return pa.array([main_text(x.as_py()) if x.is_valid else "" for x in htmls], pa.string())
+
+    return derived(pages, html_col, (html_col,), to, StringType(), run)

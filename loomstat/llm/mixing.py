@@ -85,7 +85,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("")))), 1, 8), 16, 10).cast("double") / 4294967296.0
     ranked = all_placed.withColumn("rank", rank).withColumn("rate", rate).withColumn("offset", offset)
     copies = (F.floor(F.col("rank") * F.col("rate") + F.col("offset")) - F.floor((F.col("rank") - 1) * F.col("rate") + F.col("offset"))).cast("long")
-    done = ranked.withColumn("copies", copies)
+    done = ranked.withColumn("copies", F.least(copies, F.ceil("rate")))  # rounding of long sums can't add a copy
     return done.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[F.col(f"keep_{c}").alias(c) for c in keep])
 
 
@@ -111,6 +111,6 @@ ranked AS (
          ('0x' || substr(md5('42:' || coalesce(c.source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS shift
   FROM classed c JOIN wanted w ON c.source IS NOT DISTINCT FROM w.source)
 SELECT doc_id, size, source_size, target,
-       ((floor(rank * rate + shift) - floor((rank - 1) * rate + shift)) * size)::BIGINT AS taken
+       (least(floor(rank * rate + shift) - floor((rank - 1) * rate + shift), ceil(rate)) * size)::BIGINT AS taken
 FROM ranked
 """

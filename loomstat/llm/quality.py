@@ -22,6 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from .common import derived
 
 #: Columns of the term space: hashed byte pairs, then word shapes.
 PAIRS, SHAPES = 4096, 16
@@ -128,21 +131,14 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample
 
 
 def score(docs: DataFrame, space: Space, text_col: str = "text", to: str = "score", k: int = 15, power: float = 8.0, keep: bool = True) -> DataFrame:
-    """``docs`` with a column ``to`` between 0 and 1; without the text if not ``keep``."""
-    if to in docs.columns:
-        raise ValueError(f"the table has a column {to} already")
+    """``docs`` with a column ``to`` between 0 and 1, in place of any of that name; without the text if not ``keep``."""
     shared = docs.sparkSession.sparkContext.broadcast(space)
-    rest = [c for c in docs.columns if keep or c != text_col]
-    rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).cast("binary").alias("__text"))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "__text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = shared.value
-        for b in batches:
-            texts, out = b.columns[-1], []
-            for at in range(0, len(texts), 256):
-                out.append(vote(np.stack([terms(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in texts[at : at + 256]]), s, k, power))
-            scores = pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], scores], [*b.schema.names[:-1], to])
+    def run(texts: pa.Array) -> pa.Array:
+        out = [np.zeros(0)]
+        for at in range(0, len(texts), 256):
+            part = texts.slice(at, 256)
+            out.append(vote(np.stack([terms(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in part]), shared.value, k, power))
+        return pa.array(np.concatenate(out), pa.float64())
 
-    return rows.mapInArrow(run, f"{kinds}`{to}` double")
+    return derived(docs, text_col, () if keep else (text_col,), to, DoubleType(), run)

@@ -26,9 +26,9 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from .common import Memo
+from .common import Memo, derived
 
 MARK = "▁"
 #: Stretches remembered by a Python worker; longer ones than LONG are streamed without.
@@ -267,34 +267,21 @@ def grouped(column: pa.Array, run: Callable[[list], list], weigh: Callable, limi
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text", to: str = "ids") -> DataFrame:
-    """``df`` with a column ``to`` of ids (array<int>, empty for null texts); all its columns stay."""
-    if to in df.columns:
-        raise ValueError(f"the table has a column {to} already")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    """``df`` with a column ``to`` of ids (array<int>, empty for null texts); all its columns stay,
+    but one that is named ``to`` gives way."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
-        for b in batches:
-            ids = grouped(b.column(b.schema.get_field_index(text_col)), lambda ts: m.encode_all([t or "" for t in ts]), lambda t: len(t or ""))
-            flat = pa.Array.from_buffers(pa.int32(), sum(map(len, ids)) // 4, [None, pa.py_buffer(b"".join(ids))])
-            starts = pa.array(np.cumsum([0] + [len(x) // 4 for x in ids]), pa.int32())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(starts, flat)], [*b.schema.names, to])
+    def run(texts: pa.Array) -> pa.Array:
+        ids = grouped(texts, lambda ts: model(path).encode_all([t or "" for t in ts]), lambda t: len(t or ""))
+        flat = pa.Array.from_buffers(pa.int32(), sum(map(len, ids)) // 4, [None, pa.py_buffer(b"".join(ids))])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) // 4 for x in ids]), pa.int32()), flat)
 
-    return df.mapInArrow(run, f"{kinds}, `{to}` array<int>")
+    return derived(df, text_col, (), to, ArrayType(IntegerType()), run)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
-    """``df`` with a column ``to``: the text of the ids (empty for null)."""
-    if to in df.columns:
-        raise ValueError(f"the table has a column {to} already")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    """``df`` with a column ``to``: the text of the ids (empty for null); a column of that name gives way."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
-        for b in batches:
-            lists = b.column(b.schema.get_field_index(ids_col))
-            texts = pa.array([m.decode(x.values.to_pylist()) if x.is_valid else "" for x in lists], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, texts], [*b.schema.names, to])
-
-    return df.mapInArrow(run, f"{kinds}, `{to}` string")
+    def run(lists: pa.Array) -> pa.Array:
+        return pa.array([model(path).decode(x.values.to_pylist()) if x.is_valid else "" for x in lists], pa.string())
 
+    return derived(df, ids_col, (), to, StringType(), run)

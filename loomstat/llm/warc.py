@@ -5,8 +5,9 @@ the one with the smallest id is a response and the others are revisits that refe
 no payload. Records are built and written by Spark's own expressions and text writer (the record
 separator is the line separator), so files appear through the committer of whatever store they go to.
 
-Reading: Spark's text reader splits files at ``CRLF CRLF WARC/1.``, which begins every record after
-the first - and may stand inside payloads. Each task emits, per candidate, its offset and the offset
+Reading: Spark's text reader splits files at ``WARC/1.``, which begins every record - and may stand
+inside payloads. (No proper end of this magic is also its start, so a reader that meets it across
+the edge of a buffer or split can't miss it, as it could with the line breaks before it.) Each task emits, per candidate, its offset and the offset
 of its successor according to its own length. Within a task's split the chain is followed to where
 it leaves the split; pointer jumping over those exits, from the start of each file, finds where the
 real chain enters each split, and following it inside each split tells real records from candidates
@@ -28,9 +29,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 BREAK = "\r\n\r\n"
-SEPARATOR = BREAK + "WARC/1."
 MAGIC = "WARC/1."
-SEPARATOR_SQL = "\\r\\n\\r\\nWARC/1."
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -64,7 +63,7 @@ def write(pages: DataFrame, to: str, id_col: str = "page_id", url_col: str = "ur
 def read(spark: SparkSession, at: str) -> DataFrame:
     """``(file, offset, head string, block binary)`` for each real record of the files under ``at``."""
     meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("_metadata.file_size").alias("file_size")]
-    lines = spark.read.option("lineSep", SEPARATOR).text(at).select(*meta, F.col("value").cast("binary").alias("value"))
+    lines = spark.read.option("lineSep", MAGIC).text(at).select(*meta, F.col("value").cast("binary").alias("value"))
     schema = "file string, split long, file_size long, rel long, size long, head_size int, head string, value binary"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,25 +80,23 @@ def read(spark: SparkSession, at: str) -> DataFrame:
                 sizes.append(len(raw))
                 ends.append(end)
                 heads.append(raw[:end].decode("utf-8", "replace") if end >= 0 else None)
-                rel += len(raw) + len(SEPARATOR)
+                rel += len(raw) + len(MAGIC)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(rels, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ends, pa.int32()), pa.array(heads, pa.string()), b.column(3)], ["file", "split", "file_size", "rel", "size", "head_size", "head", "value"])
 
     placed = lines.mapInArrow(place, schema)
     stretch = cut(placed.drop("value"))
-    per = stretch.groupBy("file", "split").agg(F.max(F.col("rel") + F.col("size") + len(SEPARATOR)).alias("length"))
+    per = stretch.groupBy("file", "split").agg(F.max(F.col("rel") + F.col("size") + len(MAGIC)).alias("length"))
     first = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     bases = cut(per.select("file", "split", F.coalesce(F.sum("length").over(first), F.lit(0)).alias("base")))
 
     def located(df: DataFrame) -> DataFrame:
-        """offset: of the magic; the first line of a file holds the magic itself."""
-        at_start = F.col("base") + F.col("rel") == 0
+        """offset: of the magic before the line; what stands before a file's first magic is no candidate."""
         df = df.join(bases, ["file", "split"])
-        return df.withColumn("offset", F.when(at_start, 0).otherwise(F.col("base") + F.col("rel") - len(MAGIC))).withColumn("skip", F.when(at_start, 0).otherwise(len(MAGIC)))
+        return df.withColumn("offset", F.col("base") + F.col("rel") - len(MAGIC)).where("offset >= 0")
 
     length = F.expr("try_cast(regexp_extract(head, '(?i)\\r\\n *content-length *: *([0-9]+)', 1) as long)")
-    body = F.col("offset") + F.col("skip") + F.col("head_size") + len(BREAK)
-    good = F.col("head").isNotNull() & length.isNotNull() & ((F.col("skip") > 0) | F.col("head").startswith(MAGIC))
-    links = located(stretch).select("file", "split", "offset", F.when(good, body + length + len(BREAK)).alias("next"))
+    body = F.col("offset") + len(MAGIC) + F.col("head_size") + len(BREAK)
+    links = located(stretch).select("file", "split", "offset", F.when(F.col("head").isNotNull(), body + length + len(BREAK)).alias("next"))
     links = cut(links)
 
     def leave(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -147,7 +144,7 @@ def read(spark: SparkSession, at: str) -> DataFrame:
     kept = [F.col("file"), F.col("offset"), F.col("head"), F.col("head_size"), F.col("value")]
     plain = values.join(whole, ["file", "offset"], "left_semi").select(*kept)
     pieces = values.join(parts, ["file", "offset"]).groupBy("file", F.col("owner").alias("offset")).agg(F.max(F.when(F.col("real"), F.col("head"))).alias("head"), F.max(F.when(F.col("real"), F.col("head_size"))).alias("head_size"), F.sort_array(F.collect_list(F.struct("offset", "value"))).alias("all"))
-    joined = pieces.select("file", "offset", "head", "head_size", F.expr(f"cast(array_join(transform(all, x -> decode(x.value, 'ISO-8859-1')), '{SEPARATOR_SQL}') as string)").alias("latin")).select("file", "offset", "head", "head_size", F.encode("latin", "ISO-8859-1").alias("value"))
+    joined = pieces.select("file", "offset", "head", "head_size", F.expr(f"cast(array_join(transform(all, x -> decode(x.value, 'ISO-8859-1')), '{MAGIC}') as string)").alias("latin")).select("file", "offset", "head", "head_size", F.encode("latin", "ISO-8859-1").alias("value"))
     size = F.expr("cast(regexp_extract(head, '(?i)\\r\\n *content-length *: *([0-9]+)', 1) as int)")
     return plain.unionAll(joined).select("file", "offset", "head", F.substring(F.col("value"), F.col("head_size") + len(BREAK) + 1, size).alias("block"))
 
