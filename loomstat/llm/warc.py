@@ -7,11 +7,12 @@ separator is the line separator), so files appear through the committer of whate
 
 Reading: Spark's text reader splits files at ``WARC/1.``, which begins every record - and may stand
 inside payloads. (No proper end of this magic is also its start, so a reader that meets it across
-the edge of a buffer or split can't miss it, as it could with the line breaks before it.) Each task emits, per candidate, its offset and the offset
-of its successor according to its own length. Within a task's split the chain is followed to where
-it leaves the split; pointer jumping over those exits, from the start of each file, finds where the
-real chain enters each split, and following it inside each split tells real records from candidates
-inside payloads. The text of the latter is put back into the record that contains it.
+the edge of a buffer or split can't miss it, as it could with the line breaks before it.) A first pass
+emits, per candidate, its offset and the offset of its successor according to its own length. Within
+a split the chain is followed to where it leaves the split; pointer jumping over those exits, from
+the start of each file, finds where the real chain enters each split. A second pass follows it from
+there and cuts the real records out of the split, candidates inside payloads included; only records
+that reach into another split are put together by a shuffle.
 
 Null html: an empty payload. Null url or id: the header is left out, and the id is null when read.
 Rows with equal ids and payloads are all responses if they have the smallest id. Empty table: no records.
@@ -19,6 +20,7 @@ Rows with equal ids and payloads are all responses if they have the smallest id.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -60,56 +62,115 @@ def write(pages: DataFrame, to: str, id_col: str = "page_id", url_col: str = "ur
     rows.select(F.concat(head, block).alias("value")).write.option("lineSep", BREAK).text(to)
 
 
+LENGTH = re.compile(rb"\r\n *content-length *: *([0-9]{1,18})", re.IGNORECASE)
+
+
+def needed(raw: bytes) -> tuple[int, int] | None:
+    """Where the block of a record begins in what follows its magic, and where it ends; None if it is no record."""
+    end = raw.find(BREAK.encode())
+    found = LENGTH.search(raw, 0, end) if end >= 0 else None
+    return (end + len(BREAK), end + len(BREAK) + int(found[1])) if found else None
+
+
+def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, split, rel, reach, size): where each line begins in its split, how far its own length would
+    have it reach, and its size. Lines of a split come in order."""
+    now, rel = None, 0
+    for b in batches:
+        rels, reach, sizes = [], [], []
+        for f, s, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            if (f, s) != now:
+                now, rel = (f, s), 0
+            raw = v.as_py()
+            ends = needed(raw)
+            rels.append(rel)
+            reach.append(ends[1] if ends else None)
+            sizes.append(len(raw))
+            rel += len(raw) + len(MAGIC)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rels, pa.int64()), pa.array(reach, pa.int64()), pa.array(sizes, pa.int64())], ["file", "split", "rel", "reach", "size"])
+
+
+def leave(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Where the chain from each candidate leaves its split, and the last candidate before that."""
+    pdf = pdf.sort_values("offset")
+    out: dict[int, tuple[int | None, int]] = {}
+    for o, n in zip(pdf["offset"].tolist()[::-1], pdf["next"].tolist()[::-1]):
+        out[o] = (None, o) if n is None or n != n else out.get(int(n), (int(n), o))
+    exits = pd.array([out[o][0] for o in pdf["offset"]], dtype="Int64")
+    return pdf[["file", "split", "offset"]].assign(exit=exits, last=[out[o][1] for o in pdf["offset"]])
+
+
+def carve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, offset, split, head, block): real records of a split; parts of those that reach beyond one, without a head."""
+    state: dict = {"key": None}
+    out: list[tuple] = []
+
+    def done() -> None:
+        if state["key"] is not None and state["parts"]:
+            value = MAGIC.encode().join(state["parts"])
+            ends = needed(value) if state["own"] else None
+            at = state["start"] if state["own"] else state["owner"]
+            if at is not None:
+                whole = bool(ends) and ends[1] <= len(value)
+                out.append((state["key"][0], at, state["key"][1], *(parsed(value) if whole else (None, value))))
+        state["parts"] = []
+
+    def flush() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), KINDS)], [n for n, _ in FIELDS])
+        out.clear()
+        return made
+
+    for b in batches:
+        for f, s, v, base, entry, owner in zip(*(b.column(i).to_pylist() if i != 2 else b.column(i) for i in range(6))):
+            if (f, s) != state["key"]:
+                done()
+                state = {"key": (f, s), "rel": 0, "next": entry, "own": False, "start": None, "owner": owner, "parts": []}
+            raw = v.as_py()
+            offset = base + state["rel"] - len(MAGIC)
+            state["rel"] += len(raw) + len(MAGIC)
+            if offset < 0:
+                continue  # before the file's first magic
+            if offset == state["next"]:
+                done()
+                ends = needed(raw)
+                state |= {"own": True, "start": offset, "next": offset + len(MAGIC) + ends[1] + len(BREAK) if ends else None}
+            state["parts"].append(raw)
+        if out:
+            yield flush()
+    done()
+    if out:
+        yield flush()
+
+
+FIELDS = (("file", "string"), ("offset", "long"), ("split", "long"), ("head", "string"), ("block", "binary"))
+KINDS = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+
+
+def parsed(value: bytes) -> tuple[str | None, bytes | None]:
+    """Head and block of a record; a record that the file's end cuts off has what is there."""
+    ends = needed(value)
+    return (value[: ends[0] - len(BREAK)].decode("utf-8", "replace"), value[ends[0] : ends[1]]) if ends else (None, None)
+
+
+def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [parsed(MAGIC.encode().join(x["block"] for x in parts)) for parts in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["file", "offset", "head", "block"])
+
+
 def read(spark: SparkSession, at: str) -> DataFrame:
     """``(file, offset, head string, block binary)`` for each real record of the files under ``at``."""
-    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("_metadata.file_size").alias("file_size")]
+    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split")]
     lines = spark.read.option("lineSep", MAGIC).text(at).select(*meta, F.col("value").cast("binary").alias("value"))
-    schema = "file string, split long, file_size long, rel long, size long, head_size int, head string, value binary"
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Offsets of the lines after the first line of their split. Lines of a split come in order."""
-        now, rel = None, 0
-        for b in batches:
-            rels, sizes, ends, heads = [], [], [], []
-            for f, s, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3)):
-                if (f, s) != now:
-                    now, rel = (f, s), 0
-                raw = v.as_py()
-                end = raw.find(BREAK.encode())
-                rels.append(rel)
-                sizes.append(len(raw))
-                ends.append(end)
-                heads.append(raw[:end].decode("utf-8", "replace") if end >= 0 else None)
-                rel += len(raw) + len(MAGIC)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(rels, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ends, pa.int32()), pa.array(heads, pa.string()), b.column(3)], ["file", "split", "file_size", "rel", "size", "head_size", "head", "value"])
-
-    placed = lines.mapInArrow(place, schema)
-    stretch = cut(placed.drop("value"))
-    per = stretch.groupBy("file", "split").agg(F.max(F.col("rel") + F.col("size") + len(MAGIC)).alias("length"))
-    first = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    bases = cut(per.select("file", "split", F.coalesce(F.sum("length").over(first), F.lit(0)).alias("base")))
-
-    def located(df: DataFrame) -> DataFrame:
-        """offset: of the magic before the line; what stands before a file's first magic is no candidate."""
-        df = df.join(bases, ["file", "split"])
-        return df.withColumn("offset", F.col("base") + F.col("rel") - len(MAGIC)).where("offset >= 0")
-
-    length = F.expr("try_cast(regexp_extract(head, '(?i)\\r\\n *content-length *: *([0-9]+)', 1) as long)")
-    body = F.col("offset") + len(MAGIC) + F.col("head_size") + len(BREAK)
-    links = located(stretch).select("file", "split", "offset", F.when(F.col("head").isNotNull(), body + length + len(BREAK)).alias("next"))
-    links = cut(links)
-
-    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Where the chain from each candidate leaves its split."""
-        pdf = pdf.sort_values("offset")
-        out: dict[int, int | None] = {}
-        for o, n in zip(pdf["offset"].tolist()[::-1], pdf["next"].tolist()[::-1]):
-            out[o] = None if n != n or n is None else out.get(int(n), int(n))
-        return pdf[["file", "offset"]].assign(exit=pd.array([out[o] for o in pdf["offset"]], dtype="Int64"))
-
-    exits = cut(links.groupBy("file", "split").applyInPandas(leave, "file string, offset long, exit long"))
+    found = cut(lines.mapInArrow(candidates, "file string, split long, rel long, reach long, size long"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    per = found.groupBy("file", "split").agg(F.max(F.col("rel") + F.col("size") + len(MAGIC)).alias("length"))
+    bases = cut(per.select("file", "split", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("base")))
+    offset = F.col("base") + F.col("rel") - len(MAGIC)
+    links = found.join(bases, ["file", "split"]).select("file", "split", offset.alias("offset"), (offset + len(MAGIC) + F.col("reach") + len(BREAK)).alias("next")).where("offset >= 0")
+    exits = cut(links.groupBy("file", "split").applyInPandas(leave, "file string, split long, offset long, exit long, last long"))
     # Pointer jumping: reached grows from the file starts; jump doubles its reach each round.
-    jump = exits.where("exit is not null")
+    jump = exits.where("exit is not null").select("file", "offset", "exit")
     entries = jump.select("file", F.col("exit").alias("offset")).distinct()
     jump = cut(jump.join(entries, ["file", "offset"], "left_semi").unionAll(jump.where("offset = 0")))
     reached, n = cut(exits.where("offset = 0").select("file", "offset")), -1
@@ -119,34 +180,16 @@ def read(spark: SparkSession, at: str) -> DataFrame:
         reached = cut(reached.unionAll(over).distinct())
         far = jump.select("file", F.col("offset").alias("exit"), F.col("exit").alias("far"))
         jump = cut(jump.join(far, ["file", "exit"], "left").select("file", "offset", F.coalesce("far", "exit").alias("exit")))
-
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The candidates on the real chain of a split, and the real record that each other one lies in."""
-        pdf = pdf.sort_values("offset")
-        real, due = [], {o for o, r in zip(pdf["offset"], pdf["reached"]) if r}
-        for o, n in zip(pdf["offset"].tolist(), pdf["next"].tolist()):
-            real.append(o in due)
-            if o in due and n == n and n is not None:
-                due.add(int(n))
-        return pdf[["file", "split", "offset"]].assign(real=real)
-
-    marked = links.join(reached.withColumn("reached", F.lit(True)), ["file", "offset"], "left").select("file", "split", "offset", "next", F.coalesce("reached", F.lit(False)).alias("reached"))
-    real = cut(marked.groupBy("file", "split").applyInPandas(follow, "file string, split long, offset long, real boolean"))
-    # Owners of the candidates inside payloads: the last real record before them, across splits.
-    owner = F.last(F.when(F.col("real"), F.col("offset")), True)
-    tail = real.groupBy("file", "split").agg(F.max(F.when(F.col("real"), F.col("offset"))).alias("tail"))
-    tail = tail.select("file", "split", F.last("tail", True).over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)).alias("tail"))
-    owned = real.withColumn("owner", owner.over(Window.partitionBy("file", "split").orderBy("offset"))).join(tail, ["file", "split"]).select("file", "offset", "real", F.coalesce("owner", "tail").alias("owner"))
-    broken = cut(owned.where("not real").select("file", "owner").distinct())
-    parts = owned.join(broken, ["file", "owner"], "left_semi").select("file", "offset", "owner", "real")
-    whole = owned.where("real").join(broken, ["file", "owner"], "left_anti").select("file", "offset")
-    values = located(placed)
-    kept = [F.col("file"), F.col("offset"), F.col("head"), F.col("head_size"), F.col("value")]
-    plain = values.join(whole, ["file", "offset"], "left_semi").select(*kept)
-    pieces = values.join(parts, ["file", "offset"]).groupBy("file", F.col("owner").alias("offset")).agg(F.max(F.when(F.col("real"), F.col("head"))).alias("head"), F.max(F.when(F.col("real"), F.col("head_size"))).alias("head_size"), F.sort_array(F.collect_list(F.struct("offset", "value"))).alias("all"))
-    joined = pieces.select("file", "offset", "head", "head_size", F.expr(f"cast(array_join(transform(all, x -> decode(x.value, 'ISO-8859-1')), '{MAGIC}') as string)").alias("latin")).select("file", "offset", "head", "head_size", F.encode("latin", "ISO-8859-1").alias("value"))
-    size = F.expr("cast(regexp_extract(head, '(?i)\\r\\n *content-length *: *([0-9]+)', 1) as int)")
-    return plain.unionAll(joined).select("file", "offset", "head", F.substring(F.col("value"), F.col("head_size") + len(BREAK) + 1, size).alias("block"))
+    enters = exits.join(reached, ["file", "offset"], "left_semi").select("file", "split", F.col("offset").alias("entry"), "last")
+    splits = bases.join(enters, ["file", "split"], "left").withColumn("owner", F.last("last", True).over(before))
+    # One row for each split of the files: a millionth of their bytes, and no more than the driver holds of each split as it is.
+    # A join that shuffled the lines would lose their order.
+    splits = F.broadcast(cut(splits.select("file", "split", "base", "entry", "owner")))
+    placed = lines.join(splits, ["file", "split"]).select("file", "split", "value", "base", "entry", "owner")
+    records = placed.mapInArrow(carve, ", ".join(f"{n} {t}" for n, t in FIELDS))
+    parts = records.where("head is null").groupBy("file", "offset").agg(F.sort_array(F.collect_list(F.struct("split", "block"))).alias("all"))
+    joined = parts.mapInArrow(put_together, "file string, offset long, head string, block binary").where("head is not null")
+    return records.where("head is not null").select("file", "offset", "head", "block").unionAll(joined)
 
 
 def field(name: str):
