@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: What counts as a blank identifier, in lower case.
 BLANK_IDS = ("", "nan", "none", "<na>", "null", "na")
@@ -85,7 +86,7 @@ def minus_log10(p: Column | str) -> Column:
 
 def family_name(c: Column | str) -> Column:
     c = col(c)
-    return F.when(F.lower(c).isin(*ABBREVIATIONS), F.upper(c)).otherwise(F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.expr("substring({}, 2)".format("__x__")) if False else F.substring(c, 2, 1 << 30))))
+    return F.when(F.lower(c).isin(*ABBREVIATIONS), F.upper(c)).otherwise(F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 30))))
 
 
 def discretization_label(c: Column | str) -> Column:
@@ -130,6 +131,6 @@ def feature_seed(feature: str, base: int = 42) -> int:
     return int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8, key=str(base).encode()).digest(), "big") % (1 << 32)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def seed_of(feature: pd.Series) -> pd.Series:
     return feature.map(feature_seed)

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 _erfc = np.vectorize(math.erfc, otypes=[float])
@@ -110,22 +111,22 @@ def _over(values: tuple[pd.Series, ...], positive: int, run) -> pd.Series:
     return pd.Series([None if v != v else v for v in out], dtype="Float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _f_sf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _over((f, d1, d2), 2, f_tail)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t_sf2(t: pd.Series, df: pd.Series) -> pd.Series:
     return _over((t, df), 1, t_tails)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
     return _over((x, df), 1, lambda v, d: np.where(np.isinf(v), 0.0, gammaincc(d / 2, np.where(np.isinf(v), 1.0, v) / 2)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _norm_sf2(z: pd.Series) -> pd.Series:
     return _over((z,), 0, normal_tails)
 
