@@ -56,10 +56,10 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: floa
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, source, size, source_size, target, copies, taken)`` per document, and the columns named in ``keep``."""
     size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+    names = [f"keep_{c}" for c in keep]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("digest"), *[F.col(c).alias(f"keep_{c}") for c in keep])
     rows = rows.withColumn("class", size_class(F.col("size")))
-    narrow = cut(rows.drop(*[f"keep_{c}" for c in keep]))  # texts are scanned once for all counts
-    rows = rows if keep else narrow
+    narrow = cut(rows.drop(*names))  # texts are scanned once for all counts
 
     def same(a: DataFrame, b: DataFrame, *names: str) -> DataFrame:
         there = b.select(*[F.col(n).alias(f"b_{n}") if n in names else F.col(n) for n in b.columns])
@@ -74,7 +74,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
     placed = classes.select("source", "class", digits.alias("digits"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("class_first"))
     placed = same(placed, wanted, "source")
     cut_off = F.expr("substring(digest, 1, digits)")
-    sliced = same(rows, placed, "source", "class").withColumn("slice", cut_off)
+    sliced = same(narrow, placed, "source", "class").withColumn("slice", cut_off)
     within = Window.partitionBy("source", "class").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     counts = same(narrow, placed, "source", "class").withColumn("slice", cut_off).groupBy("source", "class", "slice").agg(F.count("*").alias("m"))
     counts = counts.select("source", "class", "slice", F.coalesce(F.sum("m").over(within), F.lit(0)).alias("slice_first"))
@@ -86,7 +86,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
     ranked = all_placed.withColumn("rank", rank).withColumn("rate", rate).withColumn("offset", offset)
     copies = (F.floor(F.col("rank") * F.col("rate") + F.col("offset")) - F.floor((F.col("rank") - 1) * F.col("rate") + F.col("offset"))).cast("long")
     done = ranked.withColumn("copies", F.least(copies, F.ceil("rate")))  # rounding of long sums can't add a copy
-    return done.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[F.col(f"keep_{c}").alias(c) for c in keep])
+    done = done.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    if not keep:
+        return done
+    # Other columns cross the network once: rows of one id, source and size stand in for each other, the first for the first.
+    alike = ["doc_id", "source", "size"]
+    wide = rows.select(*alike, *names).withColumn("k", F.row_number().over(Window.partitionBy(*alike).orderBy(F.xxhash64(*names))))
+    found = done.select(*[F.col(c).alias(f"of_{c}") for c in alike], "source_size", "target", "copies", "taken")
+    found = found.withColumn("of_k", F.row_number().over(Window.partitionBy(*[f"of_{c}" for c in alike]).orderBy("copies")))
+    on = F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & F.col("source").eqNullSafe(F.col("of_source")) & (F.col("size") == F.col("of_size"))
+    both = wide.join(found, on & (F.col("k") <= F.col("of_k")) & (F.col("k") >= F.col("of_k")))
+    return both.select(*alike, "source_size", "target", "copies", "taken", *[F.col(n).alias(c) for n, c in zip(names, keep)])
 
 
 ORACLE = """
