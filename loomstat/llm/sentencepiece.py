@@ -60,6 +60,19 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             i += size
 
 
+def contents(path: str) -> tuple[list[str], list[float], list[int], bool, bool]:
+    """Pieces, scores and types of a model file, whether it is a BPE model, and whether texts get a space before."""
+    with open(path, "rb") as f:
+        top = list(fields(f.read()))
+    pieces = [dict(fields(x)) for k, x in top if k == 1]
+    trainer = dict(fields(next((x for k, x in top if k == 2), b"")))
+    normal = dict(fields(next((x for k, x in top if k == 3), b"")))
+    if normal.get(2) or normal.get(4, 1) or trainer.get(24):
+        raise ValueError("only models that leave texts as they are (identity normalization, spaces kept) are supported")
+    scores = [float(np.frombuffer(p.get(2, bytes(4)), "<f4")[0]) for p in pieces]
+    return [p[1].decode() for p in pieces], scores, [p.get(3, 1) for p in pieces], trainer.get(3, 1) == 2, bool(normal.get(3, 1))
+
+
 class Model:
     """Pieces, scores and kind of a SentencePiece model file."""
 
@@ -70,11 +83,9 @@ class Model:
         self.longest = max(map(len, self.ids), default=1)
         self.unknown = next((i for i, t in enumerate(types) if t == 2), 0)
         self.bytes = [self.unknown] * 256
-        self.surface = []
         for i, (p, t) in enumerate(zip(pieces, types)):
             if t == 6:
                 self.bytes[int(p[3:5], 16)] = i
-            self.surface.append(bytes([int(p[3:5], 16)]) if t == 6 else b"" if t == 3 else " ⁇ ".encode() if t == 2 else p.replace(MARK, " ").encode())
         self.fallback = self.unknown not in self.bytes
         self.worst = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
         self.separable = not any(MARK in p.lstrip(MARK) for p in self.ids)
@@ -97,18 +108,6 @@ class Model:
                 node = node.setdefault(c, {})
             node[""] = r
 
-    @classmethod
-    def load(cls, path: str) -> Model:
-        with open(path, "rb") as f:
-            top = list(fields(f.read()))
-        pieces = [dict(fields(x)) for k, x in top if k == 1]
-        trainer = dict(fields(next((x for k, x in top if k == 2), b"")))
-        normal = dict(fields(next((x for k, x in top if k == 3), b"")))
-        if normal.get(2) or normal.get(4, 1) or trainer.get(24):
-            raise ValueError("only models that leave texts as they are (identity normalization, spaces kept) are supported")
-        scores = [float(np.frombuffer(p.get(2, bytes(4)), "<f4")[0]) for p in pieces]
-        return cls([p[1].decode() for p in pieces], scores, [p.get(3, 1) for p in pieces], trainer.get(3, 1) == 2, bool(normal.get(3, 1)))
-
     def boundaries(self) -> re.Pattern:
         """Cuts a text where no piece reaches across: before space marks, around control characters
         that are in no piece, and before signs that follow nothing but signs and marks in any piece."""
@@ -244,17 +243,42 @@ class Model:
         of = lambda c: self.memo[c] if len(c) <= LONG else self.chunk_ids(c)
         return [b"".join(map(of, cs)) for cs in cut]
 
+
+class Surface:
+    """What ids decode to; the part of a model that decoding needs."""
+
+    def __init__(self, pieces: list[str], types: list[int], prefix: bool):
+        self.prefix = prefix
+        parts = [bytes([int(p[3:5], 16)]) if t == 6 else b"" if t == 3 else " ⁇ ".encode() if t == 2 else p.replace(MARK, " ").encode() for p, t in zip(pieces, types)]
+        self.size = np.array([len(x) for x in parts], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(parts), np.uint8)
+
+    def decode_all(self, ids: np.ndarray, starts: np.ndarray) -> list[str]:
+        """Texts of the lists that begin at ``starts`` (one more than lists) of ``ids``."""
+        sizes = self.size[ids]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        where = np.repeat(self.begin[ids] - ends[:-1], sizes) + np.arange(int(ends[-1]))
+        raw, bounds = self.bytes[where].tobytes(), ends[starts].tolist()
+        out = [raw[a:b].decode("utf-8", "replace") for a, b in zip(bounds, bounds[1:])]
+        return [t[1:] if self.prefix and t[:1] == " " else t for t in out]
+
     def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        return self.decode_all(np.array(ids, np.int64), np.array([0, len(ids)]))[0]
+
+
+@cache
+def surface(path: str) -> Surface:
+    pieces, _, types, _, prefix = contents(path)
+    return Surface(pieces, types, prefix)
 
 
 @cache
 def model(path: str) -> Model:
-    return Model.load(path)
+    return Model(*contents(path))
 
 
-def grouped(column: pa.Array, run: Callable[[list], list], weigh: Callable, limit: int = 1 << 22) -> list:
+def grouped(column: pa.Array, run: Callable[[list], list], weigh: Callable, limit: int = 1 << 20) -> list:
     """``run`` over lists of a column's values that weigh about ``limit`` together."""
     out, group, size = [], [], 0
     for x in column:
@@ -282,6 +306,12 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", to: str = "decoded")
     """``df`` with a column ``to``: the text of the ids (empty for null); a column of that name gives way."""
 
     def run(lists: pa.Array) -> pa.Array:
-        return pa.array([model(path).decode(x.values.to_pylist()) if x.is_valid else "" for x in lists], pa.string())
+        lists = lists.fill_null([])
+        ids, starts = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
+        out: list[str] = []
+        for i in range(0, len(starts) - 1, 64):
+            own = starts[i : i + 65].astype(np.int64)
+            out += surface(path).decode_all(ids[own[0] : own[-1]].astype(np.int64), own - own[0])
+        return pa.array(out, pa.string())
 
     return derived(df, ids_col, (), to, StringType(), run)

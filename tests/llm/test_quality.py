@@ -79,7 +79,7 @@ def test_pipeline(spark, sf):
     fps = simhash.near_duplicates(spark.createDataFrame(good)).toPandas()
     assert sorted(single.doc_id) == sorted(fps.component.unique())
     assert len(done) == len(mixed) and set(done.columns) == {*docs.columns, "ids"}
-    model = sentencepiece.model(tokencount.public("piece_bpe_32k.model"))
+    model = sentencepiece.surface(tokencount.public("piece_bpe_32k.model"))
     assert all(model.decode(list(i)) == t for i, t in zip(done.ids, done.text))
     run = corpus_pipeline.run(spark, sf).toPandas()
     assert sorted(run.doc_id) == sorted(done.doc_id)
