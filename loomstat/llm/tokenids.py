@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,8 @@ TERMINALS = 1 << 16
 BLOCK, GROUP = 1 << 20, 1 << 22
 #: Rules added in a round; uses that a rule needs; share of the symbols that a round must save; rounds.
 RULES, LEAST, GAIN, ROUNDS = 4096, 8, 0.02, 8
-KEEP = 200_000
+#: Slots in which pairs are counted; stretches remembered by a Python worker.
+SLOTS, KEEP = 1 << 18, 400_000
 WHITE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 STRETCH = re.compile("[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 MEMOS: dict[str, Memo] = {}
@@ -48,8 +50,8 @@ def encode_all(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text, as little-endian 32-bit integers."""
     memo, t = MEMOS.setdefault(path, Memo(KEEP)), library(path)
     cut = [[x] if WHITE.search(x) else STRETCH.findall(x) for x in texts]
-    new = memo.missing({c for cs in cut for c in cs})
-    memo.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(new, t.encode_batch_fast(new, add_special_tokens=False)))
+    new = memo.missing(set().union(*cut))
+    memo.update((c, array("I", e.ids).tobytes()) for c, e in zip(new, t.encode_batch_fast(new, add_special_tokens=False)))
     out = [b"".join(map(memo.__getitem__, cs)) for cs in cut]
     for c in new:
         if len(c) > 200:
@@ -65,29 +67,35 @@ def compress(ids: np.ndarray, terminals: int = TERMINALS) -> tuple[np.ndarray, n
         if len(seq) < 2 * LEAST:
             break
         pairs = seq[:-1] << 24 | seq[1:]
-        slot = (pairs * 0x9E3779B97F4A7C1 >> 41) & 0xFFFFF
-        often = np.bincount(slot, minlength=1 << 20)
+        slot = (pairs * 0x9E3779B97F4A7C1 >> 41) & (SLOTS - 1)
+        often = np.bincount(slot, minlength=SLOTS)
         floor = max(LEAST, int(np.partition(often, -RULES)[-RULES]))
         at = np.flatnonzero(often[slot] >= floor)
-        kinds, inverse, counts = np.unique(pairs[at], return_inverse=True, return_counts=True)
-        take = counts >= floor
-        at, inverse = at[take[inverse]], inverse[take[inverse]]
+        s = slot[at]
+        # One pair has each slot; what shares it waits for a later round.
+        table = np.zeros(SLOTS, np.int64)
+        table[s] = pairs[at]
+        own = table[s] == pairs[at]
+        at, s = at[own], s[own]
+        enough = np.bincount(s, minlength=SLOTS)[s] >= floor
+        at, s = at[enough], s[enough]
         # In a run of overlapping occurrences every other one is replaced.
         head = np.flatnonzero(np.diff(at, prepend=-2) > 1)
         place = np.arange(len(at)) - np.repeat(head, np.diff(head, append=len(at)))
-        at, inverse = at[place % 2 == 0], inverse[place % 2 == 0]
-        uses = np.bincount(inverse, minlength=len(kinds))
-        keep = uses[inverse] >= LEAST
-        at, inverse = at[keep], inverse[keep]
+        at, s = at[place % 2 == 0], s[place % 2 == 0]
+        uses = np.bincount(s, minlength=SLOTS)
+        keep = uses[s] >= LEAST
+        at, s = at[keep], s[keep]
         if len(at) < GAIN * len(seq):
             break
-        number = np.cumsum(uses >= LEAST) - 1 + terminals + len(rules)
-        made = kinds[uses >= LEAST]
-        new = np.stack((made >> 24, made & 0xFFFFFF), axis=1)
+        made = np.flatnonzero(uses >= LEAST)
+        number = np.zeros(SLOTS, np.int64)
+        number[made] = np.arange(len(made)) + terminals + len(rules)
+        new = np.stack((table[made] >> 24, table[made] & 0xFFFFFF), axis=1)
         width = lambda s: np.where(s < terminals, 1, spans[np.maximum(s - terminals, 0)] if len(spans) else 1)
         spans = np.concatenate((spans, width(new[:, 0]) + width(new[:, 1])))
         rules = np.concatenate((rules, new))
-        seq[at] = number[inverse]
+        seq[at] = number[s]
         left = np.ones(len(seq), bool)
         left[at + 1] = False
         seq = seq[left]
