@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +52,7 @@ def module_membership(features: DataFrame, components: DataFrame, method: str =
     """(feature, component, k_me): correlation of every feature with every component.
 
     A feature or component with a missing value has none with that other side."""
-    pairs = features.select("sample_id", "feature", known("value").alias("value")).join(components.select("sample_id", "component", known("value").alias("score")), "sample_id")
+    pairs = features.select("sample_id", "feature", known("value").alias("value")).join(components.select("sample_id", "component", known("score").alias("score")), "sample_id")
     gaps = pairs.groupBy("feature", "component").agg(F.count_if(F.col("value").isNull() | F.col("score").isNull()).alias("gaps"))
     found = correlated(pairs, ("feature", "component"), "value", "score", method)
     return gaps.join(found, ["feature", "component"], "left").select("feature", "component", F.when(F.col("gaps") == 0, F.col("r")).alias("k_me"))
@@ -95,8 +97,6 @@ def group_enrichment(clusters: DataFrame, groups: DataFrame) -> DataFrame:
 
 def fisher_greater(a: Column, k: Column, m: Column, n: Column) -> Column:
     """P(overlap >= a) of the hypergeometric distribution, summed in an Arrow UDF over result rows."""
-    import numpy as np
-    import pandas as pd
 
     @F.pandas_udf("double")
     def tail(a: pd.Series, k: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
