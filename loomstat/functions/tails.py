@@ -31,7 +31,7 @@ def _beta_fraction(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             c = keep(1 + numerator / c)
             step = c * d
             h = h * step
-        if (np.abs(step - 1) < 1e-16).all():
+        if (np.abs(step - 1) < 1e-15).all():
             break
     return h
 
@@ -70,7 +70,7 @@ def gammaincc(s: np.ndarray, x: np.ndarray) -> np.ndarray:
         d = 1 / np.where(np.abs(n * d + b) < _TINY, _TINY, n * d + b)
         c = np.where(np.abs(b + n / c) < _TINY, _TINY, b + n / c)
         h = h * c * d
-        if (small | (np.abs(c * d - 1) < 1e-16)).all():
+        if (small | (np.abs(c * d - 1) < 1e-15)).all():
             break
     return np.where(x <= 0, 1.0, np.where(small, 1 - front * series, front * h))
 
@@ -92,8 +92,8 @@ def normal_tails(z: np.ndarray) -> np.ndarray:
 
 def t_quantile(p: float, df: float) -> float:
     """The t below which a share ``p`` > 0.5 lies, by bisection."""
-    low, high = 0.0, 1e6
-    for _ in range(200):
+    low, high = 0.0, 1e4
+    for _ in range(64):
         mid = (low + high) / 2
         low, high = (mid, high) if float(t_tails(np.array([mid]), np.array([df]))[0]) / 2 > 1 - p else (low, mid)
     return (low + high) / 2

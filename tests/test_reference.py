@@ -184,10 +184,10 @@ def test_diagnostics(spark):
 
 
 def test_batch_effects_whole(spark, sf):
-    long = catalogue.features(spark, sf).where("dim < 6").select("sample_id", "batch", "feature", "value")
-    out = report.batch_effects(long, permutations=9, components=3, strategy="median")
+    long = catalogue.features(spark, sf).where("dim < 3").select("sample_id", "batch", "feature", "value").cache()
+    out = report.batch_effects(long, permutations=9, components=2, strategy="median")
     assert {"dataset_summary", "batch_counts", "feature_qc", "feature_stats", "global_diagnostics", "feature_summary", "combat_feature_stats"} <= set(out)
-    assert out["global_diagnostics"].count() == 2 and out["feature_stats"].count() == 6
+    assert out["global_diagnostics"].count() == 2 and out["feature_stats"].count() == 3
 
 
 def test_sinks(spark, tmp_path):
@@ -207,6 +207,6 @@ def test_scalars(spark):
     assert [tuple(r) for r in got] == [(19, "GLCM", 2, "1"), (1, "Shape", 1, "0.05"), (None, None, None, "None")]
 
 
-def test_every_query_runs(spark, sf):
+def test_some_queries_run(spark, sf):
     for name in ("wide_to_long", "catalog_annotate", "batch_anova", "repro_icc", "hub_features", "group_enrichment", "histogram", "tier_matrix"):
         assert catalogue.QUERIES[name](spark, sf).count() > 0, name
