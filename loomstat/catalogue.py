@@ -537,11 +537,11 @@ def associations_grouped(spark, d):
     return models.associations(subset(spark, d), meta, "continuous", ["y"], group="grp")
 
 
-WEIGHTS = "K AS (SELECT feature, dim, 'm' || (dim // 16) AS module, avg(value) AS c, stddev_samp(value) AS s, ((dim % 16) - 7.3) / 9.7 AS loading FROM W GROUP BY ALL)"
+WEIGHTS = "K AS (SELECT feature, dim, 'm' || (dim // 16) AS module, avg(value) AS c, stddev_samp(value) AS s, ((dim % 16) - 3.7) / 10 AS loading FROM W GROUP BY ALL)"
 
 
 def weights(spark, d):
-    return whole(spark, d).groupBy("feature", "dim").agg(F.avg("value").alias("center"), F.stddev_samp("value").alias("scale")).select("feature", F.concat(F.lit("m"), F.floor(F.col("dim") / 16).cast("string")).alias("module"), "center", "scale", ((F.col("dim") % 16 - 7.3) / 9.7).alias("loading"))
+    return whole(spark, d).groupBy("feature", "dim").agg(F.avg("value").alias("center"), F.stddev_samp("value").alias("scale")).select("feature", F.concat(F.lit("m"), F.floor(F.col("dim") / 16).cast("string")).alias("module"), "center", "scale", ((F.col("dim") % 16 - 3.7) / 10).alias("loading"))
 
 
 @query(f"WITH {LONG}, {WEIGHTS} SELECT sample_id, module, round(sum((value - c) / s * loading), 6) + 0.0 AS score FROM W JOIN K USING (feature) GROUP BY ALL")
