@@ -121,10 +121,10 @@ def batch_effects(long: DataFrame, transform=None, strategy: str = "complete_fea
     kept = qc.where("keep").select("feature")
     if kept.isEmpty():
         raise ValueError("no feature passes coverage")
-    raw = long.join(kept, "feature", "left_semi")
-    prepared = (transform or (lambda x: prep.FeaturePrep().fit_transform(x)))(raw)
+    raw = long.join(kept, "feature", "left_semi").persist()  # read by every test that follows; lost blocks are computed again
+    prepared = (transform or (lambda x: prep.FeaturePrep().fit_transform(x)))(raw).persist()
     out = {"dataset_summary": dataset_summary(long, qc), "batch_counts": groups.batch_counts(long.select("sample_id", "batch").distinct()), "feature_qc": qc, "feature_stats": groups.feature_statistics(raw, prepared)}
-    matrix = prep.imputed(prepared, strategy)
+    matrix = prep.imputed(prepared, strategy).persist()
     arrays = layout.long_to_array(matrix, ["sample_id", "batch"])
     tables = [diagnostics.global_diagnostics(arrays, "raw", components, permutations)]
     summary = [feature_summary(out["feature_stats"]).withColumn("matrix", F.lit("raw"))]
@@ -133,7 +133,7 @@ def batch_effects(long: DataFrame, transform=None, strategy: str = "complete_fea
         corrected = corrected.join(matrix.select("sample_id", "feature", F.col("value").alias("__before")), ["sample_id", "feature"])
         bad = F.col("value").isNull() | F.isnan("value")
         out["combat_adjustment_notes"] = corrected.agg(F.count_if(bad).alias("replaced_values"))
-        corrected = corrected.withColumn("value", F.when(bad, F.col("__before")).otherwise(F.col("value"))).drop("__before")
+        corrected = corrected.withColumn("value", F.when(bad, F.col("__before")).otherwise(F.col("value"))).drop("__before").persist()
         out["combat_feature_stats"] = groups.feature_statistics(corrected)
         tables.append(diagnostics.global_diagnostics(layout.long_to_array(corrected, ["sample_id", "batch"]), "combat", components, permutations))
         summary.append(feature_summary(out["combat_feature_stats"]).withColumn("matrix", F.lit("combat")))
