@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstat.llm import mixing, quality, sentencepiece, simhash, tokencount
+from loomstat.llm import jaccard, mixing, quality, sentencepiece, tokencount
 from loomstat.llm.common import scratch, table
 
 
@@ -18,8 +18,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest id. Rows without an id stay."""
-    found = simhash.near_duplicates(docs)
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more): that with the
+    smallest id. Rows without an id stay."""
+    found = jaccard.near_duplicates(docs, words=5, similarity=0.8)
     kept = found.where("id = component").select(F.col("id").alias("__kept")).distinct()
     return docs.where("doc_id is null").unionAll(docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"]))
 

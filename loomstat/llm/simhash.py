@@ -74,10 +74,10 @@ def xxh64(data: bytes, starts: np.ndarray, sizes: np.ndarray, seed: int = 42) ->
     return acc
 
 
-def fingerprint_all(texts: list[bytes], words: int = 3, seed: int = 42) -> list[int]:
-    """SimHash of each text over the XXH64 of all its ``words``-word shingles, repeats included.
+def shingle_hashes(texts: list[bytes], words: int = 3, seed: int = 42) -> list[np.ndarray]:
+    """The XXH64 of all ``words``-word shingles of each text, repeats included.
 
-    A text of fewer words is one shingle; one without words has fingerprint 0."""
+    A text of fewer words is one shingle; one without words has none."""
     lines = [b" ".join(t.lower().split()) for t in texts]  # on bytes: A-Z only, and exactly \x20 \x09-\x0D
     data = b"\n".join(lines)
     bounds = np.cumsum([0] + [len(x) + 1 for x in lines])
@@ -94,11 +94,16 @@ def fingerprint_all(texts: list[bytes], words: int = 3, seed: int = 42) -> list[
             sizes.append(last - first)
         counts.append(n)
     if not starts:
-        return [0] * len(texts)
+        return [np.zeros(0, np.uint64)] * len(texts)
     first, size = np.concatenate(starts), np.concatenate(sizes)
     hashes = np.concatenate([xxh64(data, first[k : k + CHUNK], size[k : k + CHUNK], seed) for k in range(0, len(first), CHUNK)])
     ends = np.cumsum(counts)
-    return [bit_majority(hashes[e - n : e]) if n else 0 for e, n in zip(ends.tolist(), counts)]
+    return [hashes[e - n : e] for e, n in zip(ends.tolist(), counts)]
+
+
+def fingerprint_all(texts: list[bytes], words: int = 3, seed: int = 42) -> list[int]:
+    """SimHash of each text over its shingles' hashes; a text without words has fingerprint 0."""
+    return [bit_majority(h) if len(h) else 0 for h in shingle_hashes(texts, words, seed)]
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
