@@ -509,32 +509,28 @@ def ols_hc3(spark, d):
     return models.ols_hc3(features(spark, d).withColumn("y", F.col("label").cast("double"))).select("feature", "n", "coef", "se", "statistic")
 
 
-def subset(spark, d):
-    return features(spark, d).where("dim < 6")
-
-
 @query()
 def associations_continuous(spark, d):
     meta = table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), F.col("label").cast("double").alias("y"), (F.col("vec_id") % 13).cast("double").alias("age"))
-    return models.associations(subset(spark, d), meta, "continuous", ["y"], {"univariable": [], "adjusted": ["age"]})
+    return models.associations(features(spark, d), meta, "continuous", ["y"], {"univariable": [], "adjusted": ["age"]})
 
 
 @query()
 def associations_binary(spark, d):
     meta = table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), (F.col("label") < 5).cast("double").alias("y"))
-    return models.associations(subset(spark, d), meta, "binary", ["y"])
+    return models.associations(features(spark, d), meta, "binary", ["y"])
 
 
 @query()
 def associations_survival(spark, d):
     meta = table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), (F.col("vec_id") % 37 + 1).cast("double").alias("time"), (F.col("label") % 2).cast("double").alias("event"))
-    return models.associations(subset(spark, d), meta, "survival", ["time", "event"])
+    return models.associations(features(spark, d), meta, "survival", ["time", "event"])
 
 
 @query()
 def associations_grouped(spark, d):
     meta = table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), F.col("label").cast("double").alias("y"), (F.col("vec_id") % 20).cast("string").alias("grp"))
-    return models.associations(subset(spark, d), meta, "continuous", ["y"], group="grp")
+    return models.associations(features(spark, d), meta, "continuous", ["y"], group="grp")
 
 
 WEIGHTS = "K AS (SELECT feature, dim, 'm' || (dim // 16) AS module, avg(value) AS c, stddev_samp(value) AS s, ((dim % 16) - 3.7) / 10 AS loading FROM W GROUP BY ALL)"
