@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -36,6 +36,17 @@ HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
 
+def guarded(url: str) -> Column:
+    """The url without the magic, which would cut the record's own header; ``target`` undoes it."""
+    return F.regexp_replace(F.regexp_replace(url, r"WARC%((?:25)*)2F1\.", "WARC%25$12F1."), r"WARC/1\.", "WARC%2F1.")
+
+
+def target(head: str = "head") -> Column:
+    """The url of a record that ``write`` made, as it was given to it but for control characters and spaces."""
+    url = F.expr(f"nullif(regexp_extract({head}, '(?i)\\r\\nWARC-Target-URI *: *([^\\r]*)', 1), '')")
+    return F.regexp_replace(F.regexp_replace(url, r"WARC%2F1\.", "WARC/1."), r"WARC%25((?:25)*)2F1\.", "WARC%$12F1.")
+
+
 def write(pages: DataFrame, to: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_from: int = 100) -> None:
     """Write WARC files under the folder ``to``."""
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
@@ -53,7 +64,7 @@ def write(pages: DataFrame, to: str, id_col: str = "page_id", url_col: str = "ur
     head = F.concat(
         F.lit("WARC/1.1\r\n"), F.concat(F.lit("WARC-Type: "), F.when(again, "revisit").otherwise("response"), F.lit("\r\n")),
         header("WARC-Record-ID", name("id")), header("WARC-Date", F.lit(DATE)),
-        header("WARC-Target-URI", F.col("url"), F.col("url").isNotNull()),
+        header("WARC-Target-URI", guarded("url"), F.col("url").isNotNull()),
         header("WARC-Refers-To", name("least"), again), header("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), again),
         header("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         header("Content-Type", F.lit("application/http; msgtype=response")),
