@@ -5,9 +5,9 @@ a vector lies in one bucket per table. A query visits buckets - its own and pert
 order of the estimated probability that a near neighbour lies there: along a direction a neighbour
 at cosine c of a query with projection p is normal with mean c p and variance 1 - c^2. It stops when
 the estimate for the table reaches the share that all tables together need for ``recall``. There is
-no cap on buckets. c is the similarity at which a query has ``k`` neighbours, from the spread of
-cosines in a sample of at most ``sample`` vectors (all vectors are indexed). Candidates of all
-visited buckets are reranked by their exact cosine.
+no cap on buckets. c is the query's own: its k-th best cosine in a sample of at most ``sample`` vectors, which
+is never above its k-th best cosine in the whole table (all vectors are indexed), so a dense group elsewhere
+ends no query early. Candidates of all visited buckets are reranked by their exact cosine.
 
 Buckets are split by a hash of the ids where they hold more than ``tile`` vectors. Equal vectors are
 indexed once, with their ``k + 1`` smallest ids, which is all that a list of k with ties to smaller ids needs.
@@ -80,17 +80,13 @@ class Hashes:
             most *= 4
 
 
-def similarity(sample: np.ndarray, n: int, k: int) -> float:
-    """The cosine above which about k of n vectors lie, from the mean and spread of those in a sample."""
-    if len(sample) < 3 or n <= k:
-        return 0.0
-    g = sample @ sample.T
-    v = g[~np.eye(len(g), dtype=bool)]
-    share, low, high = k / n, -8.0, 8.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if 1 - float(phi(np.array(mid))) > share else (low, mid)
-    return float(np.clip(v.mean() + v.std() * low, 0.0, 0.95))
+def similarity(queries: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """For each query, a cosine that at least k other vectors of the sample reach: a lower bound of its k-th best in the table."""
+    if len(sample) <= k:
+        return np.zeros(len(queries))
+    g = queries @ sample.T
+    g[g > 1 - 1e-9] = -1.0  # itself, or a multiple of it
+    return np.clip(np.partition(g, len(sample) - k, axis=1)[:, len(sample) - k], 0.0, 0.95)
 
 
 def nearest(df: DataFrame, queries: Column, k: int = 5, recall: float = 0.98, sample: int = 1000, tile: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding", **shape: float) -> DataFrame:
@@ -111,8 +107,7 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, recall: float = 0.98, sa
     by_size: dict[int, list] = {}
     for x in got:
         by_size.setdefault(len(x), []).append(x.values.to_numpy(zero_copy_only=False))
-    aims = {d: similarity(unit(np.stack(v)), n, k) for d, v in by_size.items()}
-    aim = min(aims.values())
+    known = {d: unit(np.stack(v)) for d, v in by_size.items()}
     tables = int(shape.get("tables", TABLES))
     share = 1 - (1 - recall) ** (1 / tables)
 
@@ -122,9 +117,10 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, recall: float = 0.98, sa
             for d in np.unique(sizes):
                 part = b.filter(pa.array(sizes == d))
                 h, u = Hashes(int(d), **shape), unit(stacked(part.column(1)))
+                aims = similarity(u, known.get(int(d), np.zeros((0, int(d)))), k) if asking else ()
                 for t in range(tables):
                     if asking:
-                        found = [h.probes(q, t, aims.get(int(d), aim), share) for q in u]
+                        found = [h.probes(q, t, float(c), share) for q, c in zip(u, aims)]
                         owner = np.repeat(np.arange(len(u)), [len(x) for x in found])
                         bucket = np.concatenate(found) if found else np.zeros(0, np.int64)
                         taken = part.take(pa.array(owner))
