@@ -3,8 +3,8 @@
 The standard library's parser streams a page as events. Text is collected in lines, one per block
 element, each with its characters, its tags and how many characters stand in links. Lines inside
 elements that never hold the article (nav, header outside the article, footer, aside, form, script,
-..., or a class, id or role that says menu, advert, notice, comments, ...) are dropped as they
-come, and when the page marks its article (article, main), so are lines outside it. Over the lines
+..., or a class, id or role that says menu, advert, notice, comments, ... as a whole name, unless a name
+alone says so and the article is inside) are dropped as they come, and when the page marks its article (article, main), so are lines outside it. Over the lines
 left, the ratio of text to tags is smoothed with a Gaussian kernel and split from the rest by a
 threshold on the spread of the ratios. Inside a marked article every line is content; elsewhere
 content is what the threshold keeps, and lines between kept lines that are not mostly links.
@@ -30,10 +30,13 @@ DROPPED = frozenset("script style noscript template head title nav footer aside
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr img br".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dd dt".split())
 SELF = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: A class or id that is one of these, alone or with one of the words that go with it before or after.
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|promo(?:tion)?s?|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|widget|"
+    r"(?:^|\s)(?:(?:site|page|main|top|bottom|global|primary|secondary|left|right|social|cookie|mobile|user|reader)[_-]+)*"
+    r"(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|promo(?:tion)?s?|nav|navbar|navigation|menu|breadcrumbs?|sidebar|widget|"
     r"footer|header|masthead|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|"
-    r"comments?|disqus|replies|respond|related|recommended|pagination|pager|toolbar|skip|hidden|copyright|legal|tags)(?:$|[\s_-])",
+    r"comments?|disqus|replies|respond|related|recommended|pagination|pager|toolbar|skip|hidden|copyright|legal|tags)"
+    r"(?:[_-]+(?:list|box|container|wrapper|section|area|bar|block|links?|buttons?|form|menu|items?|slot|unit|banner|widget|notice|posts|articles|stories|nav|content|inner|[0-9]+))*(?=$|\s)",
     re.IGNORECASE,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -46,7 +49,7 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, bool]] = []
-        self.open: list[tuple[str, bool, bool]] = []  # tag, dropped, article
+        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, dropped, article, dropped for its name alone
         self.parts: list[str] = []
         self.tags = self.linked = self.links = self.dropped = self.articles = 0
 
@@ -58,7 +61,7 @@ class Lines(HTMLParser):
         self.parts, self.linked = [], 0
 
     def pop(self) -> None:
-        tag, dropped, article = self.open.pop()
+        tag, dropped, article, _ = self.open.pop()
         if tag not in INLINE:
             self.flush()
         self.dropped -= dropped
@@ -89,8 +92,12 @@ class Lines(HTMLParser):
         article = tag in ("article", "main") or a.get("role") in ("main", "article") or a.get("itemprop") == "articleBody"
         named = f"{a.get('class', '')} {a.get('id', '')}"
         dropped = tag in DROPPED or tag == "header" and not self.articles or a.get("role") in ROLES or "hidden" in a or a.get("aria-hidden") == "true"
-        dropped = dropped or (tag not in ("html", "body", "article", "main") and named != " " and bool(NAMES.search(named)))
-        self.open.append((tag, dropped, article))
+        by_name = not dropped and tag not in ("html", "body", "article", "main") and named != " " and bool(NAMES.search(named))
+        dropped = dropped or by_name
+        if tag in ("article", "main") and self.dropped and not self.articles and all(x[3] for x in self.open if x[1]):
+            self.open = [(name, False, inside, False) for name, _, inside, _ in self.open]  # a wrapper of the article, whatever its name
+            self.dropped = 0
+        self.open.append((tag, dropped, article, by_name))
         self.dropped += dropped
         self.articles += article
         self.links += tag == "a"
