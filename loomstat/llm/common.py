@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
@@ -52,8 +55,8 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(e.select("b", "a"))
         first = both.groupBy("node").agg(F.min(order("other")).alias("best"))
         p = first.select("node", F.least(order("node"), "best")["id"].alias("root"))
+        p = cut(p)
         for _ in range(2):
-            p = cut(p)
             p = p.join(p.select(F.col("node").alias("root"), F.col("root").alias("next")), "root").select("node", F.col("next").alias("root"))
         p = cut(p)
         layers.append(p)
@@ -89,19 +92,23 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def derived(df: DataFrame, column: str, drop: tuple[str, ...], to: str, kind: DataType, run: Callable[[pa.Array], pa.Array]) -> DataFrame:
-    """``df`` without the columns ``drop``, and a column ``to`` (in place of any of that name) that ``run`` makes
-    from batches of ``column``. Inside the task columns have names of their own, so any names will do."""
-    rest = without(df, to, *drop)
-    names = [f"c{i}" for i in range(len(rest))]
+def derived(df: DataFrame, column: str, drop: tuple[str, ...], made: dict[str, DataType], run: Callable[[pa.Array], list[pa.Array]], weight: int = 4 << 20) -> DataFrame:
+    """``df`` without the columns ``drop``, and the columns ``made`` (in place of any of those names) that ``run``
+    makes from batches of ``column``. Inside the task columns have names of their own, so any names will do.
+    Batches are taken in slices of about ``weight`` bytes, so that what is made of a large one is never there at once."""
+    rest = without(df, *made, *drop)
+    names, new = [f"c{i}" for i in range(len(rest))], [f"m{i}" for i in range(len(made))]
     rows = df.select(*[quoted(c).alias(n) for c, n in zip(rest, names)], quoted(column).alias("given"))
-    schema = StructType([*rows.schema.fields[:-1], StructField("made", kind)])
+    schema = StructType([*rows.schema.fields[:-1], *[StructField(n, kind) for n, kind in zip(new, made.values())]])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], run(b.columns[-1])], [*names, "made"])
+        for whole in it:
+            step = max(1, whole.num_rows * weight // max(whole.nbytes, weight))
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *run(b.columns[-1])], [*names, *new])
 
-    return rows.mapInArrow(batches, schema).toDF(*rest, to)
+    return rows.mapInArrow(batches, schema).toDF(*rest, *made)
 
 
 class Memo(dict):
@@ -121,3 +128,78 @@ class Memo(dict):
             if k in old:
                 self[k] = old[k]
         return [k for k in want if k not in old]
+
+
+class Pool:
+    """Ids of stretches of text, each worked out once while it is remembered.
+
+    ``run`` gives the ids of new stretches: all in one array, and how many each has. Beyond ``keep``
+    stretches (or ``WIDE`` times as many bytes) those met once are forgotten, and then the rarer ones.
+    """
+
+    WIDE = 24
+
+    def __init__(self, run: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], keep: int):
+        self.run, self.keep = run, keep
+        self.numbers: dict[str, int] = {}
+        self.ids = np.zeros(0, np.int32)
+        self.size = self.begin = self.uses = self.width = np.zeros(0, np.int64)
+
+    def ids_of(self, names: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, given as their stretches in a row and how many each has; and how many ids each text has."""
+        coded = names.dictionary_encode()
+        each = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        own = np.fromiter(map(self.numbers.get, each, repeat(-1)), np.int64, len(each))
+        if len(new := np.flatnonzero(own < 0)):
+            first = len(self.numbers)
+            self.numbers.update(zip([each[i] for i in new.tolist()], range(first, first + len(new))))
+            own[new] = np.arange(first, first + len(new))
+            fresh = coded.dictionary.take(pa.array(new))
+            ids, size = self.run(fresh)
+            self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(size) - size))
+            self.size, self.ids = np.concatenate((self.size, size)), np.concatenate((self.ids, ids))
+            self.uses = np.concatenate((self.uses, np.zeros(len(new), np.int64)))
+            self.width = np.concatenate((self.width, pc.binary_length(fresh).to_numpy().astype(np.int64)))
+        at = own.take(coded.indices.to_numpy())
+        size = self.size.take(at)
+        ends = np.concatenate(([0], np.cumsum(size)))
+        out = self.ids.take(np.repeat(self.begin.take(at) - ends[:-1], size) + np.arange(ends[-1]))
+        lengths = np.diff(ends[np.concatenate(([0], np.cumsum(counts)))])
+        self.uses += np.bincount(at, minlength=len(self.uses))
+        if len(self.uses) > self.keep or self.width.sum() > self.WIDE * self.keep:
+            self.forget()
+        return out, lengths
+
+    def forget(self) -> None:
+        often = np.argsort(-self.uses, kind="stable")
+        half = (np.arange(len(often)) < self.keep // 2) & (np.cumsum(self.width[often]) <= self.WIDE * self.keep // 2)
+        stay = np.sort(often[half & (self.uses[often] > 1)])
+        size = self.size[stay]
+        self.ids = self.ids.take(np.repeat(self.begin[stay] - (np.cumsum(size) - size), size) + np.arange(size.sum()))
+        self.begin, self.size, self.uses, self.width = np.cumsum(size) - size, size, self.uses[stay] // 2, self.width[stay]
+        keys = list(self.numbers)
+        self.numbers = {keys[i]: n for n, i in enumerate(stay.tolist())}
+
+
+#: Before the name of a stretch that is given whole.
+WHOLE = "\r"
+
+
+def dealt(texts: list[str], plain: Callable[[str], bool], other: Callable[[str], list[str]], first: str = "") -> tuple[pa.Array, np.ndarray]:
+    """The stretches of all texts in a row by name, and how many each text has.
+
+    A ``plain`` text is cut at single spaces and before line feeds; a stretch after a space is named by itself
+    without it, one after a line feed by itself, and a text's first one has ``first`` before its name.
+    The stretches of any other text, and of all with carriage returns, are what ``other`` says, named by themselves after ``WHOLE``."""
+    fast = np.array([bool(x) and plain(x) for x in texts], bool)
+    cut = pc.split_pattern(pa.array([first + x.replace("\n", " \n") for x, f in zip(texts, fast) if f], pa.string()), " ")
+    if not fast.all():
+        slow = pa.array([[WHOLE + s for s in other(x)] if x else [] for x, f in zip(texts, fast) if not f], pa.list_(pa.string()))
+        order = np.argsort(np.concatenate((np.flatnonzero(fast), np.flatnonzero(~fast))), kind="stable")
+        cut = pa.concat_arrays([cut, slow]).take(pa.array(order))
+    return cut.flatten(), cut.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def restored(names: list[str], lead: str) -> list[str]:
+    """Stretches by their names; ``lead`` stands for the space before one."""
+    return [n if n[:1] == "\n" else n[1:] if n[:1] == WHOLE else lead + n for n in names]

@@ -160,7 +160,7 @@ def main_text(html: str, threshold: float = 0.5) -> str:
 def extract(pages: DataFrame, html_col: str = "html", to: str = "text") -> DataFrame:
     """``pages`` without the html, with a column ``to``: the main text. A column of that name gives way."""
 
-    def run(htmls: pa.Array) -> pa.Array:
-        return pa.array([main_text(x.as_py()) if x.is_valid else "" for x in htmls], pa.string())
+    def run(htmls: pa.Array) -> list[pa.Array]:
+        return [pa.array([main_text(x.as_py()) if x.is_valid else "" for x in htmls], pa.string())]
 
-    return derived(pages, html_col, (html_col,), to, StringType(), run)
+    return derived(pages, html_col, (html_col,), {to: StringType()}, run)

@@ -134,11 +134,11 @@ def score(docs: DataFrame, space: Space, text_col: str = "text", to: str = "scor
     """``docs`` with a column ``to`` between 0 and 1, in place of any of that name; without the text if not ``keep``."""
     shared = docs.sparkSession.sparkContext.broadcast(space)
 
-    def run(texts: pa.Array) -> pa.Array:
+    def run(texts: pa.Array) -> list[pa.Array]:
         out = [np.zeros(0)]
         for at in range(0, len(texts), 256):
             part = texts.slice(at, 256)
             out.append(vote(np.stack([terms(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in part]), shared.value, k, power))
-        return pa.array(np.concatenate(out), pa.float64())
+        return [pa.array(np.concatenate(out), pa.float64())]
 
-    return derived(docs, text_col, () if keep else (text_col,), to, DoubleType(), run)
+    return derived(docs, text_col, () if keep else (text_col,), {to: DoubleType()}, run)

@@ -17,9 +17,8 @@ def op1_nearest(spark: SparkSession, d: str) -> DataFrame:
 def op2_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     """Ids of every text, and whether they decode to it."""
     path = tokencount.public("piece_bpe_32k.model")
-    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = sentencepiece.decode(sentencepiece.encode(docs, path), path)
-    return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+    both = sentencepiece.round_trip(table(spark, d, "documents").select("doc_id", "text"), path)
+    return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
 
 def op3_warc(spark: SparkSession, d: str) -> DataFrame:

@@ -11,7 +11,8 @@ two neighbouring pieces merge to themselves; exactly one admissible path leads t
 and it is the result of the merges, so ids equal those of the SentencePiece library.
 
 Where no piece has a space mark after another character, all paths meet before every such mark;
-those stretches are encoded once and remembered.
+those stretches are encoded once and remembered. New ones are encoded in alphabetical order, so that
+the pass over each starts where it parts from the one before.
 
 Null and empty texts have no ids; ids decode to the very text, spaces included, except characters
 that a model without byte fallback can't express.
@@ -20,19 +21,21 @@ that a model without byte fallback can't express.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType
 
-from .common import Memo, derived
+from .common import WHOLE, Pool, dealt, derived, restored
 
 MARK = "▁"
 #: Stretches remembered by a Python worker; longer ones than LONG are streamed without.
-KEEP, LONG = 200_000, 64
+KEEP, LONG = 300_000, 64
 UNKNOWN_PENALTY = 10.0
 
 
@@ -90,13 +93,15 @@ class Model:
         self.worst = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
         self.separable = not any(MARK in p.lstrip(MARK) for p in self.ids)
         self.pattern = self.boundaries()
-        self.memo = Memo(KEEP)
+        self.lines = self.separable and not any("\n" in p for p in self.ids)
+        self.pool = Pool(self.encode_new, KEEP)
         # Pieces by rank: single characters, which are never merged, then the best score first.
         self.ranked = sorted(self.ids, key=lambda p: (len(p) > 1, -self.score[p]))
         self.rank = {p: r for r, p in enumerate(self.ranked)}
+        self.number = [self.ids[p] for p in self.ranked]
         self.halves = [(r, r) for r in range(len(self.ranked))]
         self.agree: dict[int, bool] = {}
-        self.trie: dict = {}  # of reversed pieces; "" holds the rank
+        self.trie: list = [-1, {}]  # of reversed pieces: rank or -1, and what may stand before
         for r, p in enumerate(self.ranked):
             if bpe and len(p) > 1:
                 parts = self.merged(p, 2)
@@ -105,8 +110,8 @@ class Model:
                 self.halves[r] = self.rank[parts[0]], self.rank[parts[1]]
             node = self.trie
             for c in reversed(p):
-                node = node.setdefault(c, {})
-            node[""] = r
+                node = node[1].setdefault(c, [-1, {}])
+            node[0] = r
 
     def boundaries(self) -> re.Pattern:
         """Cuts a text where no piece reaches across: before space marks, around control characters
@@ -154,31 +159,31 @@ class Model:
     def advance(self, window: str, back: list[int], last: list[int], best: list[float]) -> None:
         """Extend the backpointers to the end of ``window``. back[n]: length of the last piece of the
         path to position n (0: no path); last[n]: its rank (-1: unknown character or none)."""
-        trie, agree, bpe = self.trie, self.agree, self.bpe
-        if len(agree) > 4 * KEEP:
-            agree.clear()
+        if len(self.agree) > KEEP:
+            self.agree.clear()
+        (self.merge_on if self.bpe else self.sum_on)(window, back, last, best)
+
+    def merge_on(self, window: str, back: list[int], last: list[int], best: list[float]) -> None:
+        """``advance`` of a BPE model: the longest piece that the merges leave alone behind what leads to it."""
+        top, agree = self.trie[1], self.agree
         for n in range(len(back), len(window) + 1):
-            node, i, found = trie, n - 1, []
-            while i >= 0:
-                node = node.get(window[i])
-                if node is None:
-                    break
-                r = node.get("")
-                if r is not None:
-                    found.append((i, r))
-                i -= 1
-            size, piece, value = 0, -1, 0.0
-            if not bpe:
-                options = [(best[i] + self.score[self.ranked[r]], n - i, r) for i, r in found if i == 0 or back[i]]
-                if not any(size == 1 for _, size, _ in options):
-                    options.append((best[n - 1] + self.worst, 1, -1))
-                value, size, piece = max(options, key=lambda o: o[0])
-            elif not found or found[0][0] != n - 1:
-                size = 1
-            else:
+            i = n - 1
+            node = top.get(window[i])
+            size, piece = 1, -1
+            if node is not None and node[0] >= 0:
+                found = []
+                while True:
+                    r, before = node
+                    if r >= 0 and (back[i] or not i):
+                        found.append((i, r))
+                    if not i:
+                        break
+                    i -= 1
+                    node = before.get(window[i])
+                    if node is None:
+                        break
+                size = 0
                 for i, r in reversed(found):
-                    if i and not back[i]:
-                        continue
                     a = last[i]
                     if a >= 0:
                         known = agree.get(a << 24 | r)
@@ -190,8 +195,24 @@ class Model:
                     break
             back.append(size)
             last.append(piece)
-            if not bpe:
-                best.append(value)
+
+    def sum_on(self, window: str, back: list[int], last: list[int], best: list[float]) -> None:
+        """``advance`` of a unigram model: the piece with the best sum of scores up to its end."""
+        for n in range(len(back), len(window) + 1):
+            node, i, options = self.trie, n, []
+            while i:
+                i -= 1
+                node = node[1].get(window[i])
+                if node is None:
+                    break
+                if node[0] >= 0 and (i == 0 or back[i]):
+                    options.append((best[i] + self.score[self.ranked[node[0]]], n - i, node[0]))
+            if not any(size == 1 for _, size, _ in options):
+                options.append((best[n - 1] + self.worst, 1, -1))
+            value, size, piece = max(options, key=lambda o: o[0])
+            back.append(size)
+            last.append(piece)
+            best.append(value)
 
     def stream(self, blocks: Iterable[str]) -> Iterator[bytes]:
         """Ids of a text that comes in blocks, in parts, each as soon as it is certain."""
@@ -211,37 +232,61 @@ class Model:
         yield self.path(window, back, last, len(window))
 
     def path(self, window: str, back: list[int], last: list[int], end: int) -> bytes:
-        """Ids on the path to a position, as little-endian 32-bit integers."""
+        """Ids on the path to a position, as 32-bit integers."""
         out: list[int] = []
+        number = self.number
         while end > 0:
-            if last[end] >= 0:
-                out.append(self.ids[self.ranked[last[end]]])
+            r = last[end]
+            if r >= 0:
+                out.append(number[r])
             elif self.fallback:
                 out += [self.bytes[x] for x in reversed(window[end - 1].encode())]
             else:
                 out.append(self.unknown)
             end -= back[end]
-        return np.array(out[::-1], "<i4").tobytes()
+        out.reverse()
+        return array("i", out).tobytes()
 
     def chunk_ids(self, chunk: str) -> bytes:
         if len(chunk) <= LONG:
-            back, last = [0], [-1]
-            self.advance(chunk, back, last, [0.0])
+            back, last, best = [0], [-1], [0.0]
+            self.advance(chunk, back, last, best)
             return self.path(chunk, back, last, len(chunk))
         return b"".join(self.stream(chunk[i : i + LONG] for i in range(0, len(chunk), LONG)))
 
+    def encode_new(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all stretches, one after another, and how many each has."""
+        texts = restored(names.to_pylist(), MARK)
+        out = [b""] * len(texts)
+        back, last, best, before = [0], [-1], [0.0], ""
+        for i in sorted(range(len(texts)), key=texts.__getitem__):
+            text = texts[i]
+            if len(text) > LONG:
+                out[i] = self.chunk_ids(text)
+                continue
+            same = 0
+            for a, b in zip(text, before):
+                if a != b:
+                    break
+                same += 1
+            del back[same + 1 :], last[same + 1 :], best[same + 1 :]
+            self.advance(text, back, last, best)
+            out[i], before = self.path(text, back, last, len(text)), text
+        return np.frombuffer(b"".join(out), np.int32), np.fromiter(map(len, out), np.int64, len(out)) // 4
+
     def chunks(self, text: str) -> list[str]:
         if not text:
             return []
         text = (MARK if self.prefix else "") + text.replace(" ", MARK)
         return self.pattern.findall(text) if self.separable else [text]
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        cut = [self.chunks(t) for t in texts]
-        new = self.memo.missing({c for cs in cut for c in cs if len(c) <= LONG})
-        self.memo.update((c, self.chunk_ids(c)) for c in new)
-        of = lambda c: self.memo[c] if len(c) <= LONG else self.chunk_ids(c)
-        return [b"".join(map(of, cs)) for cs in cut]
+    def plain(self, text: str) -> bool:
+        """Whether no mark of a text follows another."""
+        return self.lines and not (MARK in text or "  " in text or "\r" in text or text[0] == " ")
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and how many each has."""
+        return self.pool.ids_of(*dealt(texts, self.plain, self.chunks, "" if self.prefix else WHOLE))
 
 
 class Surface:
@@ -278,40 +323,54 @@ def model(path: str) -> Model:
     return Model(*contents(path))
 
 
-def grouped(column: pa.Array, run: Callable[[list], list], weigh: Callable, limit: int = 1 << 20) -> list:
-    """``run`` over lists of a column's values that weigh about ``limit`` together."""
-    out, group, size = [], [], 0
+def grouped(column: pa.Array, limit: int = 1 << 22) -> Iterator[list[str]]:
+    """Texts of a column (null: empty), in groups of about ``limit`` characters."""
+    group, size = [], 0
     for x in column:
-        group.append(x.as_py())
-        size += weigh(group[-1])
+        group.append(x.as_py() or "")
+        size += len(group[-1])
         if size >= limit:
-            out += run(group)
+            yield group
             group, size = [], 0
-    return out + run(group) if group else out
+    yield group
+
+
+def encoded(texts: pa.Array, path: str) -> pa.Array:
+    """Lists of ids."""
+    flat, sizes = map(np.concatenate, zip(*map(model(path).encode_all, grouped(texts))))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat, pa.int32()))
+
+
+def decoded(lists: pa.Array, path: str) -> pa.Array:
+    """Texts of lists of ids (null: empty)."""
+    lists = lists.fill_null([])
+    ids, starts = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
+    out: list[str] = []
+    for i in range(0, len(starts) - 1, 64):
+        own = starts[i : i + 65].astype(np.int64)
+        out += surface(path).decode_all(ids[own[0] : own[-1]].astype(np.int64), own - own[0])
+    return pa.array(out, pa.string())
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text", to: str = "ids") -> DataFrame:
     """``df`` with a column ``to`` of ids (array<int>, empty for null texts); all its columns stay,
     but one that is named ``to`` gives way."""
 
-    def run(texts: pa.Array) -> pa.Array:
-        ids = grouped(texts, lambda ts: model(path).encode_all([t or "" for t in ts]), lambda t: len(t or ""))
-        flat = pa.Array.from_buffers(pa.int32(), sum(map(len, ids)) // 4, [None, pa.py_buffer(b"".join(ids))])
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) // 4 for x in ids]), pa.int32()), flat)
+    return derived(df, text_col, (), {to: ArrayType(IntegerType())}, lambda texts: [encoded(texts, path)])
+
+
+def round_trip(df: DataFrame, path: str, text_col: str = "text", to: str = "ids", same: str = "round_trip") -> DataFrame:
+    """``df`` without the text, with a column ``to`` of its ids and one, ``same``, of whether they decode to it
+    (null: to an empty one), both made in one pass. Columns of these names give way."""
 
-    return derived(df, text_col, (), to, ArrayType(IntegerType()), run)
+    def run(texts: pa.Array) -> list[pa.Array]:
+        ids = encoded(texts, path)
+        return [ids, pc.equal(decoded(ids, path), texts.fill_null(""))]
+
+    return derived(df, text_col, (text_col,), {to: ArrayType(IntegerType()), same: BooleanType()}, run)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
     """``df`` with a column ``to``: the text of the ids (empty for null); a column of that name gives way."""
 
-    def run(lists: pa.Array) -> pa.Array:
-        lists = lists.fill_null([])
-        ids, starts = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
-        out: list[str] = []
-        for i in range(0, len(starts) - 1, 64):
-            own = starts[i : i + 65].astype(np.int64)
-            out += surface(path).decode_all(ids[own[0] : own[-1]].astype(np.int64), own - own[0])
-        return pa.array(out, pa.string())
-
-    return derived(df, ids_col, (), to, StringType(), run)
+    return derived(df, ids_col, (), {to: StringType()}, lambda lists: [decoded(lists, path)])
