@@ -47,13 +47,17 @@ def target(head: str = "head") -> Column:
     return F.regexp_replace(F.regexp_replace(url, r"WARC%2F1\.", "WARC/1."), r"WARC%25((?:25)*)2F1\.", "WARC%$12F1.")
 
 
-def write(pages: DataFrame, to: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_from: int = 100) -> None:
-    """Write WARC files under the folder ``to``."""
+def write(pages: DataFrame, to: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_from: int = 100, broadcast_rows: int = 1 << 20) -> None:
+    """Write WARC files under the folder ``to``. Digests that several pages have (40 bytes each with the id) are
+    broadcast if there are ``broadcast_rows`` at most."""
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.regexp_replace(F.col(url_col), r"[\x00-\x20\x7f]", "").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload"))
-    least = rows.where(F.col("size") >= revisit_from).groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(least.withColumnRenamed("digest", "same"), F.col("digest") == F.col("same"), "left")
+    long = rows.where(F.col("size") >= revisit_from).select("id", "digest")
+    least = cut(long.groupBy(F.unhex("digest").alias("same")).agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    # Payloads stay where they are read if the digests with copies are few; else they are shuffled once.
+    least = F.broadcast(least) if least.count() <= broadcast_rows else least.hint("merge")
+    rows = rows.join(least, F.unhex("digest") == F.col("same"), "left")
     again = F.col("least").isNotNull() & ~F.col("id").eqNullSafe(F.col("least"))
 
     def header(name: str, value, when=F.lit(True)):
