@@ -103,7 +103,9 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, recall: float = 0.98, sa
     n = kinds.count()
     if not n:
         return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), "id", F.lit(0.0).alias("score")).limit(0)
-    got = kinds.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow()["vector"].combine_chunks()
+    # About twice the sample comes below the bound, so that no task has to choose among more.
+    low = F.lit(2**63 - 1 if n <= 2 * sample else 2 * sample * 2**63 // n)
+    got = kinds.where(F.xxhash64("id").bitwiseAND(F.lit(2**63 - 1)) <= low).orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow()["vector"].combine_chunks()
     by_size: dict[int, list] = {}
     for x in got:
         by_size.setdefault(len(x), []).append(x.values.to_numpy(zero_copy_only=False))
