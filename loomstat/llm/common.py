@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -92,7 +93,20 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def derived(df: DataFrame, column: str, drop: tuple[str, ...], made: dict[str, DataType], run: Callable[[pa.Array], list[pa.Array]], weight: int = 4 << 20) -> DataFrame:
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, which at the end of a task gives memory that is free back to the system: workers stay
+    for the next stage, beside whose workers it would count."""
+
+    def through(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(it)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+            trim(0)
+
+    return through
+
+
+def derived(df: DataFrame, column: str, drop: tuple[str, ...], made: dict[str, DataType], run: Callable[[pa.Array], list[pa.Array]], weight: int = 2 << 20) -> DataFrame:
     """``df`` without the columns ``drop``, and the columns ``made`` (in place of any of those names) that ``run``
     makes from batches of ``column``. Inside the task columns have names of their own, so any names will do.
     Batches are taken in slices of about ``weight`` bytes, so that what is made of a large one is never there at once."""
@@ -108,7 +122,7 @@ def derived(df: DataFrame, column: str, drop: tuple[str, ...], made: dict[str, D
                 b = whole.slice(at, step)
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *run(b.columns[-1])], [*names, *new])
 
-    return rows.mapInArrow(batches, schema).toDF(*rest, *made)
+    return rows.mapInArrow(trimmed(batches), schema).toDF(*rest, *made)
 
 
 class Memo(dict):
@@ -133,14 +147,15 @@ class Memo(dict):
 class Pool:
     """Ids of stretches of text, each worked out once while it is remembered.
 
-    ``run`` gives the ids of new stretches: all in one array, and how many each has. Beyond ``keep``
+    ``run`` gives the ids of new stretches: all in one array, and how many each has. ``split`` names the two stretches
+    whose ids together are those of a new one (null, if there are none); neither is split further. Beyond ``keep``
     stretches (or ``WIDE`` times as many bytes) those met once are forgotten, and then the rarer ones.
     """
 
     WIDE = 24
 
-    def __init__(self, run: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], keep: int):
-        self.run, self.keep = run, keep
+    def __init__(self, run: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], keep: int, split: Callable[[pa.Array], tuple[pa.Array, pa.Array]] | None = None):
+        self.run, self.keep, self.split = run, keep, split
         self.numbers: dict[str, int] = {}
         self.ids = np.zeros(0, np.int32)
         self.size = self.begin = self.uses = self.width = np.zeros(0, np.int64)
@@ -151,31 +166,54 @@ class Pool:
         each = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         own = np.fromiter(map(self.numbers.get, each, repeat(-1)), np.int64, len(each))
         if len(new := np.flatnonzero(own < 0)):
-            first = len(self.numbers)
-            self.numbers.update(zip([each[i] for i in new.tolist()], range(first, first + len(new))))
-            own[new] = np.arange(first, first + len(new))
-            fresh = coded.dictionary.take(pa.array(new))
-            ids, size = self.run(fresh)
-            self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(size) - size))
-            self.size, self.ids = np.concatenate((self.size, size)), np.concatenate((self.ids, ids))
-            self.uses = np.concatenate((self.uses, np.zeros(len(new), np.int64)))
-            self.width = np.concatenate((self.width, pc.binary_length(fresh).to_numpy().astype(np.int64)))
+            own[new] = np.arange(len(self.numbers), len(self.numbers) + len(new))
+            self.numbers.update(zip([each[i] for i in new.tolist()], own[new].tolist()))
+            self.learn(coded.dictionary.take(pa.array(new)))
         at = own.take(coded.indices.to_numpy())
         size = self.size.take(at)
-        ends = np.concatenate(([0], np.cumsum(size)))
-        out = self.ids.take(np.repeat(self.begin.take(at) - ends[:-1], size) + np.arange(ends[-1]))
-        lengths = np.diff(ends[np.concatenate(([0], np.cumsum(counts)))])
+        out = self.gathered(at, size)
+        lengths = np.diff(np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(counts)))])
         self.uses += np.bincount(at, minlength=len(self.uses))
         if len(self.uses) > self.keep or self.width.sum() > self.WIDE * self.keep:
             self.forget()
         return out, lengths
 
+    def learn(self, fresh: pa.Array) -> None:
+        """Add the ids of stretches that have just got the last numbers."""
+        first, made, parts = len(self.size), np.zeros(len(fresh), bool), []
+        if self.split:
+            cores, tails = self.split(fresh)
+            made = cores.is_valid().to_numpy(zero_copy_only=False)
+            parts = [x.drop_null().to_numpy(zero_copy_only=False).tolist() for x in (cores, tails)]
+            more = [x for x in dict.fromkeys(chain(*parts)) if x not in self.numbers]
+            self.numbers.update(zip(more, range(len(self.numbers), len(self.numbers) + len(more))))
+            fresh, made = pa.concat_arrays([fresh, pa.array(more, pa.string())]), np.concatenate((made, np.zeros(len(more), bool)))
+        self.width = np.concatenate((self.width, pc.binary_length(fresh).to_numpy().astype(np.int64)))
+        self.uses = np.concatenate((self.uses, np.zeros(len(fresh), np.int64)))
+        self.begin, self.size = (np.concatenate((x, np.zeros(len(fresh), np.int64))) for x in (self.begin, self.size))
+        self.put(first + np.flatnonzero(~made), *self.run(fresh.filter(pa.array(~made))))
+        if made.any():
+            both = np.stack([np.fromiter(map(self.numbers.__getitem__, x), np.int64, len(x)) for x in parts], axis=1)
+            size = self.size.take(both)
+            self.put(first + np.flatnonzero(made), self.gathered(both.ravel(), size.ravel()), size.sum(1))
+
+    def put(self, at: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        self.begin[at], self.size[at] = len(self.ids) + np.cumsum(size) - size, size
+        self.ids = np.concatenate((self.ids, ids))
+
+    def gathered(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The ids of stretches, by number, in a row."""
+        ends = np.cumsum(size)
+        where = np.repeat((self.begin.take(at) - (ends - size)).astype(np.int32), size)  # both are below 2^31 in a group of texts
+        where += np.arange(len(where), dtype=np.int32)
+        return self.ids.take(where)
+
     def forget(self) -> None:
         often = np.argsort(-self.uses, kind="stable")
         half = (np.arange(len(often)) < self.keep // 2) & (np.cumsum(self.width[often]) <= self.WIDE * self.keep // 2)
         stay = np.sort(often[half & (self.uses[often] > 1)])
         size = self.size[stay]
-        self.ids = self.ids.take(np.repeat(self.begin[stay] - (np.cumsum(size) - size), size) + np.arange(size.sum()))
+        self.ids = self.gathered(stay, size)
         self.begin, self.size, self.uses, self.width = np.cumsum(size) - size, size, self.uses[stay] // 2, self.width[stay]
         keys = list(self.numbers)
         self.numbers = {keys[i]: n for n, i in enumerate(stay.tolist())}
@@ -185,21 +223,36 @@ class Pool:
 WHOLE = "\r"
 
 
-def dealt(texts: list[str], plain: Callable[[str], bool], other: Callable[[str], list[str]], first: str = "") -> tuple[pa.Array, np.ndarray]:
-    """The stretches of all texts in a row by name, and how many each text has.
+def dealt(texts: pa.Array, odd: str, other: Callable[[str], list[str]], first: str = "") -> tuple[pa.Array, np.ndarray]:
+    """The stretches of all texts (null: none) in a row by name, and how many each text has.
 
-    A ``plain`` text is cut at single spaces and before line feeds; a stretch after a space is named by itself
+    A text is cut at single spaces and before line feeds; a stretch after a space is named by itself
     without it, one after a line feed by itself, and a text's first one has ``first`` before its name.
-    The stretches of any other text, and of all with carriage returns, are what ``other`` says, named by themselves after ``WHOLE``."""
-    fast = np.array([bool(x) and plain(x) for x in texts], bool)
-    cut = pc.split_pattern(pa.array([first + x.replace("\n", " \n") for x, f in zip(texts, fast) if f], pa.string()), " ")
-    if not fast.all():
-        slow = pa.array([[WHOLE + s for s in other(x)] if x else [] for x, f in zip(texts, fast) if not f], pa.list_(pa.string()))
-        order = np.argsort(np.concatenate((np.flatnonzero(fast), np.flatnonzero(~fast))), kind="stable")
+    The stretches of a text in which the pattern ``odd`` (RE2) is found, which is to be there for carriage returns, are what
+    ``other`` says, named by themselves after ``WHOLE``."""
+    texts = texts.fill_null("")
+    some = pc.greater(pc.binary_length(texts), 0)
+    fast = pc.and_not(some, pc.match_substring_regex(texts, odd))
+    lines = pc.replace_substring(texts.filter(fast), "\n", " \n")
+    cut = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(first), lines, "") if first else lines, " ")
+    if len(cut) < len(texts):
+        slow = pa.array([[WHOLE + s for s in other(x)] if x else [] for x in texts.filter(pc.invert(fast)).to_pylist()], pa.list_(pa.string()))
+        at = fast.to_numpy(zero_copy_only=False)
+        order = np.argsort(np.concatenate((np.flatnonzero(at), np.flatnonzero(~at))), kind="stable")
         cut = pa.concat_arrays([cut, slow]).take(pa.array(order))
     return cut.flatten(), cut.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def slices(texts: pa.Array, weight: int) -> Iterator[pa.Array]:
+    """The texts in runs of about ``weight`` bytes."""
+    ends = np.cumsum(pc.binary_length(texts.fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + weight)))
+        yield texts.slice(at, end - at)
+        at = end
+
+
 def restored(names: list[str], lead: str) -> list[str]:
     """Stretches by their names; ``lead`` stands for the space before one."""
     return [n if n[:1] == "\n" else n[1:] if n[:1] == WHOLE else lead + n for n in names]

@@ -31,11 +31,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType
 
-from .common import WHOLE, Pool, dealt, derived, restored
+from .common import WHOLE, Pool, dealt, derived, restored, slices
 
 MARK = "▁"
-#: Stretches remembered by a Python worker; longer ones than LONG are streamed without.
-KEEP, LONG = 300_000, 64
+#: Stretches remembered by a Python worker; longer ones than LONG are streamed without; bytes of texts encoded together.
+KEEP, LONG, GROUP = 150_000, 64, 1 << 20
 UNKNOWN_PENALTY = 10.0
 
 
@@ -280,13 +280,10 @@ class Model:
         text = (MARK if self.prefix else "") + text.replace(" ", MARK)
         return self.pattern.findall(text) if self.separable else [text]
 
-    def plain(self, text: str) -> bool:
-        """Whether no mark of a text follows another."""
-        return self.lines and not (MARK in text or "  " in text or "\r" in text or text[0] == " ")
-
-    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after another, and how many each has."""
-        return self.pool.ids_of(*dealt(texts, self.plain, self.chunks, "" if self.prefix else WHOLE))
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: none), one after another, and how many each has."""
+        odd = f"{MARK}|  |\r|^ " if self.lines else ""  # with marks in a row, or all
+        return self.pool.ids_of(*dealt(texts, odd, self.chunks, "" if self.prefix else WHOLE))
 
 
 class Surface:
@@ -323,21 +320,10 @@ def model(path: str) -> Model:
     return Model(*contents(path))
 
 
-def grouped(column: pa.Array, limit: int = 1 << 22) -> Iterator[list[str]]:
-    """Texts of a column (null: empty), in groups of about ``limit`` characters."""
-    group, size = [], 0
-    for x in column:
-        group.append(x.as_py() or "")
-        size += len(group[-1])
-        if size >= limit:
-            yield group
-            group, size = [], 0
-    yield group
-
-
 def encoded(texts: pa.Array, path: str) -> pa.Array:
     """Lists of ids."""
-    flat, sizes = map(np.concatenate, zip(*map(model(path).encode_all, grouped(texts))))
+    found = [model(path).encode_all(x) for x in slices(texts, GROUP)] or [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
+    flat, sizes = map(np.concatenate, zip(*found))
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat, pa.int32()))
 
 

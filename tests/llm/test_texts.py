@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece as library
 import xxhash
@@ -156,6 +157,31 @@ def test_token_ids_round_trip(spark, sf, tmp_path):
     assert got == want
 
 
+@pytest.mark.parametrize("keep", [50, 10**6])
+def test_stretches_are_remembered_and_forgotten(keep, monkeypatch):
+    path = tokencount.public("byte_bpe_50k.json")
+    monkeypatch.setattr(tokenids, "KEEP", keep)
+    tokenids.pool.cache_clear()
+    t, m = Tokenizer.from_file(path), sentencepiece.Model(*sentencepiece.contents(PIECES))
+    m.pool.keep = keep
+    sp = library.SentencePieceProcessor(model_file=PIECES)
+    for seed in range(4):
+        texts = [x or "" for x in ODD] + fuzz(60, seed) + ["a plain text\nof two lines " + "word%d" % i + " end" for i in range(80)]
+        for got, want in ((tokenids.encode_all(pa.array(texts), path), [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]), (m.encode_all(pa.array(texts)), sp.encode(texts))):
+            assert got[1].tolist() == list(map(len, want)) and got[0].tolist() == sum(want, [])
+    assert len(m.pool.numbers) <= max(keep, 3000)
+    tokenids.pool.cache_clear()
+
+
+def test_round_trip(spark):
+    texts = [t for t in ODD if "▁" not in (t or "")]
+    df = frame(spark, texts).withColumn("round_trip", F.lit("clash"))
+    got = sentencepiece.round_trip(df, PIECES).collect()
+    sp = library.SentencePieceProcessor(model_file=PIECES)
+    assert all(r.round_trip is True and r.ids == sp.encode(texts[r.doc_id] or "") for r in got) and len(got) == len(texts)
+    assert sentencepiece.round_trip(df.where("false"), PIECES).count() == 0
+
+
 def test_repair_random_access():
     rng = np.random.default_rng(4)
     ids = np.concatenate((np.tile(rng.integers(0, 50000, 40), 300), rng.integers(0, 20, 9000), np.zeros(3000, int)))
@@ -214,7 +240,7 @@ def test_unigram_is_the_best_path():
     rng = random.Random(8)
     for _ in range(200):
         text = "".join(rng.choice("abc z") for _ in range(rng.randrange(1, 80)))
-        got = np.frombuffer(m.encode_all([text])[0], "<i4").tolist()
+        got = m.encode_all(pa.array([text]))[0].tolist()
         assert got == best("▁" + text.replace(" ", "▁"))
 
 
