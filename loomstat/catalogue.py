@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstat.functions import ranking, scalars
-from loomstat.operators import agreement, association, catalogs, diagnostics, groups, ingest, layout, models, network, prep, reduce, selectors
-from loomstat.plans import report
+from loomstat.operators import agreement, association, catalogs, diagnostics, groups, ingest, layout, models, network, prep, reduce, search, selectors
+from loomstat.plans import figures, report
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -76,10 +76,9 @@ def wide_to_long(spark, d):
     return layout.wide_to_long(wide, ["sample_id", "batch"], [f"f{i:02d}" for i in range(64)])
 
 
-@query(f"WITH {LONG} SELECT sample_id, {', '.join(f'round(max(CASE WHEN dim = {i} THEN value END), 6) + 0.0 AS f{i:02d}' for i in range(6))} FROM L GROUP BY sample_id")
+@query(f"WITH {LONG} SELECT sample_id, {', '.join(f'round(max(CASE WHEN dim = {i} THEN value END), 6) + 0.0 AS f{i:02d}' for i in range(64))} FROM L GROUP BY sample_id")
 def long_to_wide(spark, d):
-    names = [f"f{i:02d}" for i in range(6)]
-    return layout.long_to_wide(features(spark, d).where(F.col("feature").isin(*names)), ["sample_id"], names)
+    return layout.long_to_wide(features(spark, d), ["sample_id"], [f"f{i:02d}" for i in range(64)])
 
 
 def named(spark, d):
@@ -459,19 +458,26 @@ def sparse_pca_scores(spark, d):
     return reduce.SparsePCA(3, alpha=0.5).fit_transform(arrays(spark, d)).select("sample_id", F.posexplode("components").alias("component", "score"))
 
 
-POINTS = "E AS (SELECT vec_id AS sample_id, 'b' || (label % 3) AS batch, embedding[1:4]::DOUBLE[] AS x FROM embeddings)"
+POINTS = "E AS (SELECT vec_id AS sample_id, 'b' || (label % 3) AS batch, embedding::DOUBLE[] AS x FROM embeddings)"
 
 
 def points(spark, d):
-    return arrays(spark, d).select("sample_id", "batch", F.slice("features", 1, 4).alias("coords"))
+    """Whole vectors."""
+    return arrays(spark, d).withColumnRenamed("features", "coords")
 
 
-@query(f"""WITH {POINTS}, U AS (SELECT batch, unnest(x) AS v, unnest(range(4)) AS j FROM E), G AS (SELECT batch, j, count(*) AS n, avg(v) AS m, var_pop(v) * count(*) AS ss FROM U GROUP BY ALL),
+@query(f"""WITH {POINTS}, U AS (SELECT batch, unnest(x) AS v, unnest(range(len(x))) AS j FROM E), G AS (SELECT batch, j, count(*) AS n, avg(v) AS m, var_pop(v) * count(*) AS ss FROM U GROUP BY ALL),
 B AS (SELECT *, sum(n * m) OVER (PARTITION BY j) / sum(n) OVER (PARTITION BY j) AS gm FROM G),
 S AS (SELECT sum(n * pow(m - gm, 2)) AS b, sum(ss) AS w, count(DISTINCT batch) AS k, sum(CASE WHEN j = 0 THEN n END) AS n FROM B)
 SELECT round((b / (k - 1)) / (w / (n - k)), 6) + 0.0 AS permanova_f, round(b / (b + w), 6) + 0.0 AS permanova_r2 FROM S""")
 def permanova(spark, d):
-    return diagnostics.permanova(points(spark, d), 99).drop("permanova_p")
+    """The observed statistics, which need no permutation; ``permanova_test`` has their p."""
+    return diagnostics.permanova(points(spark, d), 0).drop("permanova_p")
+
+
+@query()
+def permanova_test(spark, d):
+    return diagnostics.permanova(points(spark, d))
 
 
 DIST = f"{POINTS}, D AS (SELECT a.sample_id, a.batch, b.batch AS other, b.sample_id AS oid, list_distance(a.x, b.x) AS dist FROM E a JOIN E b ON a.sample_id <> b.sample_id)"
@@ -585,3 +591,127 @@ def family_blocks(spark, d):
 def tier_matrix(spark, d):
     p = table(spark, d, "part").groupBy(F.col("p_brand").alias("feature"), F.concat(F.lit("t"), (F.col("p_size") % 3).cast("string")).alias("model")).agg(F.avg("p_retailprice").alias("coef"))
     return report.value_matrix(p, "coef", ["t0", "t1", "t2"])
+
+
+# ---- tables behind figures ------------------------------------------------------------------------
+
+NAMES = [f"f{i:02d}" for i in range(64)]
+
+
+@query(f"""WITH {LONG}, R AS (SELECT a.feature AS fa, b.feature AS fb, a.dim AS da, b.dim AS db, corr(a.value, b.value) AS r FROM W a JOIN W b USING (sample_id) GROUP BY ALL),
+O AS (SELECT dim, row_number() OVER (ORDER BY dim % 4, dim) - 1 AS i FROM (SELECT unnest(range(64)) AS dim))
+SELECT x.i::BIGINT AS x, y.i::BIGINT AS y, fb AS feature_x, fa AS feature_y, round(r, 6) + 0.0 AS similarity FROM R JOIN O x ON x.dim = db JOIN O y ON y.dim = da""")
+def heatmap_cells(spark, d):
+    order = figures.display_order(NAMES, labels={f: f"m{i % 4}" for i, f in enumerate(NAMES)})
+    return figures.heatmap(figures.correlations(arrays(spark, d), NAMES), order)
+
+
+HUBS = f"""{MEMBERSHIP}, S AS (SELECT feature, abs(corr(value, label)) AS s FROM W GROUP BY feature),
+P AS (SELECT R.feature, k, s, dim // 16 = 1 AS in_target FROM R JOIN S USING (feature) WHERE component = 'm1')"""
+
+
+def hub_parts(spark, d):
+    long = whole(spark, d)
+    clusters = long.select("feature", F.concat(F.lit("m"), F.floor(F.col("dim") / 16).cast("string")).alias("cluster")).distinct()
+    meaning = agreement.correlated(long, ("feature",), "value", "label").select("feature", F.abs("r").alias("significance"))
+    return figures.hub_significance(association.module_membership(long, components(spark, d), "pearson"), meaning, clusters, "m1")
+
+
+@query(f"{HUBS}, T AS (SELECT *, row_number() OVER (PARTITION BY in_target ORDER BY abs(k) DESC, feature) AS n FROM P) SELECT feature, round(k, 6) + 0.0 AS k_me, round(s, 6) + 0.0 AS significance, in_target, CASE WHEN in_target AND n <= 5 THEN feature END AS label FROM T")
+def hub_significance_points(spark, d):
+    return hub_parts(spark, d)[0]
+
+
+@query(f"{HUBS}, K AS (SELECT rank() OVER (ORDER BY k) AS x, rank() OVER (ORDER BY s) AS y FROM P WHERE in_target) SELECT count(*)::BIGINT AS n, round(corr(x, y), 6) + 0.0 AS r FROM K")
+def hub_significance_summary(spark, d):
+    return hub_parts(spark, d)[1].drop("p_value")
+
+
+@query(f"""WITH {LONG}, {MODULES}, P AS (SELECT DISTINCT sample_id, batch AS trait, score FROM Z JOIN W USING (sample_id) WHERE component = 'm0'),
+B AS (SELECT trait, count(*) AS n, quantile_cont(score, 0.25) AS q1, median(score) AS m, quantile_cont(score, 0.75) AS q3 FROM P GROUP BY trait),
+I AS (SELECT P.trait, score, score >= q1 - 1.5 * (q3 - q1) AND score <= q3 + 1.5 * (q3 - q1) AS inside FROM P JOIN B USING (trait)),
+E2 AS (SELECT trait, min(CASE WHEN inside THEN score END) AS lo, max(CASE WHEN inside THEN score END) AS hi, count_if(NOT inside) AS o FROM I GROUP BY trait)
+SELECT trait, n::BIGINT AS n, round(q1, 6) + 0.0 AS q1, round(m, 6) + 0.0 AS median, round(q3, 6) + 0.0 AS q3, round(lo, 6) + 0.0 AS whisker_low, round(hi, 6) + 0.0 AS whisker_high, o::BIGINT AS n_outliers FROM B JOIN E2 USING (trait)""")
+def eigengene_boxes(spark, d):
+    trait = arrays(spark, d).select("sample_id", F.col("batch").alias("trait"))
+    return figures.eigengene_profile(components(spark, d), trait, "m0")[1]
+
+
+@query(f"""WITH {LONG}, {MODULES}, P AS (SELECT score AS y, label AS x FROM Z JOIN (SELECT vec_id AS sample_id, label FROM embeddings) USING (sample_id) WHERE component = 'm0')
+SELECT count(*)::BIGINT AS n, round(regr_slope(y, x), 6) + 0.0 AS slope, round(regr_intercept(y, x), 6) + 0.0 AS intercept, round(corr(x, y), 6) + 0.0 AS r FROM P""")
+def eigengene_line(spark, d):
+    trait = table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), F.col("label").alias("trait"))
+    return figures.eigengene_profile(components(spark, d), trait, "m0")[1].drop("p_value")
+
+
+@query()
+def batch_densities(spark, d):
+    before = features(spark, d)
+    return figures.batch_distributions(before, prep.BatchHarmonizer().fit_transform(before), NAMES)
+
+
+SHEETS = f"""{ANOVA}, J AS (SELECT feature, value AS x, label AS y FROM L WHERE value IS NOT NULL), K AS (SELECT feature, {AVERAGE.format(by='feature', v='x')} AS x, {AVERAGE.format(by='feature', v='y')} AS y FROM J),
+V2 AS (SELECT 'icc' AS sheet, feature, ssb / (ssb + ssw) AS value FROM R UNION ALL SELECT 'spearman', feature, corr(x, y) FROM K GROUP BY feature)"""
+
+
+def sheets(spark, d):
+    """Values of agreement for figures: how much batches explain as icc, rank correlation with the label as spearman."""
+    long = features(spark, d)
+    icc = groups.anova(long).select("feature", F.col("eta_squared").alias("icc_2_1"))
+    return figures.reproducibility_values({"icc": icc, "spearman": agreement.correlated(long, ("feature",), "value", "label", "spearman").select("feature", F.col("r").alias("estimate"))})
+
+
+@query(f"""{SHEETS}, M AS (SELECT *, min(value) OVER (PARTITION BY sheet) < 0 AS wide FROM V2),
+B AS (SELECT sheet, wide, CASE WHEN wide THEN least(floor((value + 1) / 0.1), 19) ELSE least(floor(value / 0.05), 19) END::BIGINT AS bin FROM M)
+SELECT sheet, bin, round(CASE WHEN wide THEN bin * 0.1 - 1 ELSE bin * 0.05 END, 6)::DOUBLE + 0.0 AS low, count(*)::BIGINT AS n FROM B GROUP BY ALL""")
+def repro_histogram_bars(spark, d):
+    return figures.reproducibility_histograms(sheets(spark, d), 0.05)[0]
+
+
+@query(f"""{SHEETS} SELECT sheet, count(*)::BIGINT AS n, round(avg(value), 6) + 0.0 AS mean, round(median(value), 6) + 0.0 AS median, CASE WHEN sheet = 'icc' THEN count_if(value >= 0.05)::BIGINT END AS n_pass,
+  round(CASE WHEN sheet = 'icc' THEN count_if(value >= 0.05) / count(*) END, 6) + 0.0 AS pass_rate FROM V2 GROUP BY sheet""")
+def repro_histogram_statistics(spark, d):
+    return figures.reproducibility_histograms(sheets(spark, d), 0.05)[1]
+
+
+FAMILIES = ["glcm", "zeta", "morphology", "Alpha", "ngldm", "ivh"]
+
+
+@query(f"""{ANOVA}, F AS (SELECT feature, ssb / (ssb + ssw) AS v, dim, CASE WHEN dim % 7 < 6 THEN ['glcm', 'zeta', 'morphology', 'Alpha', 'ngldm', 'ivh'][1 + dim % 7] END AS fam, CASE WHEN dim % 3 > 0 THEN (dim % 5) * 12.5 END AS param FROM R JOIN (SELECT DISTINCT feature, dim FROM W) USING (feature)),
+O AS (SELECT *, row_number() OVER (ORDER BY CASE fam WHEN 'morphology' THEN 1 WHEN 'ivh' THEN 4 WHEN 'glcm' THEN 5 WHEN 'ngldm' THEN 10 ELSE CASE WHEN fam IS NOT NULL THEN 11 END END NULLS FIRST, fam NULLS FIRST, param NULLS FIRST, feature) - 1 AS pos FROM F)
+SELECT feature, fam AS "group", pos::BIGINT AS position, (count(*) OVER () - 1 - pos)::BIGINT AS y, round(v, 6) + 0.0 AS value, ((v >= 0.002)::INT + (v >= 0.004)::INT + (v >= 0.01)::INT)::BIGINT AS category,
+  CASE WHEN dim % 3 = 0 OR dim % 2 = 1 THEN 'None' ELSE CASE WHEN param = floor(param) THEN param::BIGINT::VARCHAR ELSE param::DOUBLE::VARCHAR END END AS disc_label FROM O""")
+def synteny_rows(spark, d):
+    k = features(spark, d).select("feature", "dim").distinct()
+    kinds = k.select("feature", F.when(F.col("dim") % 7 < 6, F.element_at(F.array(*map(F.lit, FAMILIES)), (F.col("dim") % 7 + 1).cast("int"))).alias("family"), (F.col("dim") % 2 == 0).alias("is_discretised"), F.when(F.col("dim") % 3 > 0, (F.col("dim") % 5) * 12.5).alias("discretisation_param"))
+    return figures.synteny(groups.anova(features(spark, d)).select("feature", F.col("eta_squared").alias("icc_2_1")).join(kinds, "feature"), thresholds=(0.002, 0.004, 0.01))
+
+
+@query(f"{ANOVA}, Q AS (SELECT {FDR.format(p='p')} AS q FROM R) SELECT count(*)::BIGINT AS n_features, count_if(q <= 0.05)::BIGINT AS n_significant, round(100.0 * count_if(q <= 0.05) / count(*), 6) + 0.0 AS percent FROM Q")
+def batch_q_summary(spark, d):
+    stats = ranking.with_fdr(groups.anova(features(spark, d)), "anova_p", "anova_q")
+    return figures.batch_figure(arrays(spark, d), stats)["q_summary"]
+
+
+def tested(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_retailprice") - 1400).alias("coef"))
+    return pvalues(spark, d).join(p, "id").select("model", F.col("id").cast("string").alias("feature"), F.lit("ok").alias("status"), "p_value", F.lit(None).cast("double").alias("p_fdr"), "coef", F.lit("coef").alias("effect_name"), F.lit(None).cast("double").alias("effect"))
+
+
+@query(f"WITH {PVALUES}, J AS (SELECT model, p, p_retailprice - 1400 AS x FROM P JOIN part ON id = p_partkey WHERE p > 0) SELECT model, round(quantile_cont(abs(x), 0.99) * 1.08, 6) AS x_limit, round(max(-log10(p)) * 1.08, 6) AS y_limit FROM J GROUP BY model")
+def volcano_limits(spark, d):
+    return figures.volcano_limits(tested(spark, d))
+
+
+@query()
+def dendrogram_leaves(spark, d):
+    return figures.dendrogram(network.CoexpressionModules(min_module_size=4, soft_power=2).fit(arrays(spark, d)), spark)[0]
+
+
+@query()
+def grid_search(spark, d):
+    """Winsor bounds and scaling of a preparation, by the mean absolute skew that it leaves in samples held out."""
+    long = search.hashed_folds(whole(spark, d).select("sample_id", "feature", "value"), "sample_id", 3)
+    flat = lambda chain, test: -chain.transform(test).groupBy("feature").agg(F.skewness("value").alias("s")).agg(F.avg(F.abs("s"))).first()[0]
+    chain = search.Chain([("prep", prep.FeaturePrep(skip_power=True))])
+    return search.grid_search(long, chain, {"prep__winsor_lower": [0.0, 0.05], "prep__standardize": [True, False]}, {"symmetry": flat}, 3).summary()

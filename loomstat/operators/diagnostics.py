@@ -85,7 +85,11 @@ def _per_point(points: DataFrame, schema: str, run: Callable[[np.ndarray, np.nda
         for pdf in batches:
             for b in pdf["id"]:
                 rows = np.arange(int(b) * BLOCK, min(n, (int(b) + 1) * BLOCK))
-                d = np.sqrt(np.maximum(square[rows][:, None] + square[None, :] - 2 * (x[rows] @ x.T), 0))
+                scale = square[rows][:, None] + square[None, :]
+                d = np.maximum(scale - 2 * (x[rows] @ x.T), 0)
+                i, j = np.nonzero(d <= 1e-6 * scale)  # of near ones nothing is left in the difference
+                d[i, j] = ((x[rows[i]] - x[j]) ** 2).sum(1)
+                d = np.sqrt(d)
                 yield pd.DataFrame(run(d, rows, labels, x, names))
 
     return spark.range(0, -(-n // BLOCK) or 1, 1, max(1, min(-(-n // BLOCK), 4096))).mapInPandas(blocks, schema)

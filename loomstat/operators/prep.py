@@ -56,12 +56,12 @@ class FeaturePrep:
     def __init__(self, winsor_lower: float = 0.01, winsor_upper: float = 0.99, skip_power: bool = False, standardize: bool = True):
         if not 0 <= winsor_lower < winsor_upper <= 1:
             raise ValueError("0 <= winsor_lower < winsor_upper <= 1 is needed")
-        self.bounds = winsor_lower, winsor_upper
+        self.winsor_lower, self.winsor_upper = winsor_lower, winsor_upper
         self.skip_power, self.standardize = skip_power, standardize
 
     def fit(self, long: DataFrame) -> FeaturePrep:
         rows = long.select("feature", known("value").alias("value"))
-        low, high = self.bounds
+        low, high = self.winsor_lower, self.winsor_upper
         params = rows.groupBy("feature").agg(F.percentile("value", F.lit(low)).alias("low"), F.percentile("value", F.lit(high)).alias("high"))
         clipped = rows.join(params, "feature").select("feature", F.greatest("low", F.least("high", F.col("value"))).alias("v"), F.col("value").isNull().alias("gap")).where("not gap").drop("gap")
         if self.skip_power:
@@ -108,16 +108,39 @@ def shrunk(n: np.ndarray, gamma: np.ndarray, delta: np.ndarray, tolerance: float
     return g, d
 
 
+def shrunk_means(gamma: np.ndarray) -> np.ndarray:
+    """Parametric estimates of one batch's shifts where scales are left alone."""
+    bar, t2 = gamma.mean(), gamma.var(ddof=1) if len(gamma) > 1 else 0.0
+    return (t2 * gamma + bar) / (t2 + 1)
+
+
+def weighed(n: np.ndarray, gamma: np.ndarray, delta: np.ndarray, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates without a form of the prior: for each feature the mean of the other features' shifts and scales,
+    weighed by the likelihood of its own values under them, which needs only their count, mean and variance."""
+    if len(gamma) < 2:
+        return gamma, delta
+    g, d = np.empty_like(gamma), np.empty_like(delta)
+    for at in range(0, len(gamma), block):
+        i = np.arange(at, min(at + block, len(gamma)))
+        squares = ((n[i] - 1) * delta[i])[:, None] + n[i][:, None] * (gamma[i][:, None] - gamma[None, :]) ** 2
+        log = -0.5 * n[i][:, None] * np.log(2 * np.pi * delta)[None, :] - squares / (2 * delta)[None, :]
+        log[np.arange(len(i)), i] = -np.inf
+        w = np.exp(log - log.max(axis=1, keepdims=True))
+        w /= w.sum(axis=1, keepdims=True)
+        g[i], d[i] = w @ gamma, w @ delta
+    return g, d
+
+
 class BatchHarmonizer:
     """Location and scale of batches taken out (ComBat), with numeric covariates kept.
 
     The regression of every feature on batches and covariates needs only their cross products, which are
     sums; the shrinkage works on the small feature x batch table. Constant features pass through."""
 
-    def __init__(self, reference: str | None = None, parametric: bool = True, on_unseen: str = "passthrough"):
+    def __init__(self, reference: str | None = None, parametric: bool = True, on_unseen: str = "passthrough", mean_only: bool = False):
         if on_unseen not in ("passthrough", "error"):
             raise ValueError("on_unseen: passthrough or error")
-        self.reference, self.parametric, self.on_unseen = reference, parametric, on_unseen
+        self.reference, self.parametric, self.on_unseen, self.mean_only = reference, parametric, on_unseen, mean_only
 
     def fit(self, long: DataFrame, covariates: list[str] = ()) -> BatchHarmonizer:
         """``long``: sample_id, batch, feature, value and the covariate columns."""
@@ -128,7 +151,7 @@ class BatchHarmonizer:
             raise ValueError("at least two batches are needed")
         if self.reference is not None and str(self.reference) not in names:
             raise ValueError(f"no batch {self.reference}")
-        reference, covs, parametric = self.reference and str(self.reference), self.covariates_, self.parametric
+        reference, covs, parametric, mean_only = self.reference and str(self.reference), self.covariates_, self.parametric, self.mean_only
         self.batches_ = names
         c = [F.col(x).cast("double") for x in covs]
         # Cross products per (feature, batch), around the feature's mean: counts, sums, squares.
@@ -181,9 +204,15 @@ class BatchHarmonizer:
         def shrink(pdf: pd.DataFrame) -> pd.DataFrame:
             if pdf["batch"].iloc[0] == reference:
                 return pdf.assign(gamma=0.0, delta=1.0)
+            if mean_only:
+                pdf["delta"] = 1.0
             ok = ~pdf["flat"].to_numpy(bool) & (pdf["delta"].to_numpy() > 0)
-            if parametric and ok.any():
-                g, d = shrunk(pdf["n"].to_numpy()[ok], pdf["gamma"].to_numpy()[ok], pdf["delta"].to_numpy()[ok])
+            if ok.any():
+                n, g, d = (pdf[c].to_numpy()[ok] for c in ("n", "gamma", "delta"))
+                if mean_only and parametric:
+                    g = shrunk_means(g)
+                else:
+                    g, d = (shrunk if parametric else weighed)(n, g, d)
                 pdf.loc[ok, "gamma"], pdf.loc[ok, "delta"] = g, d
             return pdf
 

@@ -98,10 +98,13 @@ def analysis_features(df: DataFrame, s: Selectors | None = None, catalog: list[d
 
 @dataclass(frozen=True)
 class FeatureSplit:
+    """Both tables (the removed one with metadata first) and the names of what was kept, removed and known as metadata."""
+
     kept: DataFrame
     removed: DataFrame
     kept_columns: tuple[str, ...]
     removed_columns: tuple[str, ...]
+    metadata_columns: tuple[str, ...] = ()
     unmatched: tuple[str, ...] = ()
     kept_catalog: DataFrame | None = None
     removed_catalog: DataFrame | None = None
@@ -135,7 +138,7 @@ class FeatureRemover:
         kept = self.transform(df)
         removed = list(dict.fromkeys([*self.metadata_, *self.removed_]))
         cats = split_catalog(catalog, self.removed_) if catalog is not None else (None, None)
-        return FeatureSplit(kept, df.select(*map(quoted, removed)), tuple(self.kept_), tuple(removed), tuple(self.unmatched_), *cats)
+        return FeatureSplit(kept, df.select(*map(quoted, removed)), tuple(self.kept_), tuple(self.removed_), tuple(self.metadata_), tuple(self.unmatched_), *cats)
 
 
 def split_table(df: DataFrame, selectors: Selectors, catalog: list[dict] | None = None, metadata: tuple[str, ...] | str = "auto", catalog_df: DataFrame | None = None) -> FeatureSplit:
