@@ -35,7 +35,7 @@ from .common import WHOLE, Pool, dealt, derived, restored, slices
 
 MARK = "▁"
 #: Stretches remembered by a Python worker; longer ones than LONG are streamed without; bytes of texts encoded together.
-KEEP, LONG, GROUP = 150_000, 64, 1 << 20
+KEEP, LONG, GROUP = 200_000, 64, 1 << 21
 UNKNOWN_PENALTY = 10.0
 
 
