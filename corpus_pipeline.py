@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstat.llm import jaccard, mixing, quality, sentencepiece, tokencount
-from loomstat.llm.common import scratch, table
+from loomstat.llm import mixing, quality, sentencepiece, simhash, tokencount
+from loomstat.llm.common import quoted, scratch, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,10 +19,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more): that with the
-    smallest id. Rows without an id stay."""
-    found = jaccard.near_duplicates(docs, words=5, similarity=0.8)
-    kept = found.where("id = component").select(F.col("id").alias("__kept")).distinct()
-    return docs.where("doc_id is null").unionAll(docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"]))
+    smallest id, of several with that id the one whose text hashes least, of rows equal in both any one. Rows without an id stay."""
+    found = simhash.near_duplicates(docs, words=5, similarity=0.8).where("id is not null")
+    kept = found.groupBy("group").agg(F.min(F.struct("id", "hash")).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.hash").alias("__hash"))
+    names = docs.columns
+    own = docs.where("doc_id is not null").withColumn("__text", F.xxhash64(F.col("text").cast("binary")))
+    one = own.join(kept, (F.col("doc_id") == F.col("__id")) & (F.col("__text") == F.col("__hash")), "left_semi").dropDuplicates(["doc_id", "__text"])
+    return docs.where("doc_id is null").unionAll(one.select(*[quoted(n) for n in names]))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
