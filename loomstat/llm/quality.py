@@ -20,11 +20,12 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import derived
+from .common import derived, release
 
 #: Columns of the term space: hashed byte pairs, then word shapes.
 PAIRS, SHAPES = 4096, 16
@@ -70,18 +71,36 @@ def terms(text: bytes) -> np.ndarray:
     return out
 
 
-def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts) * idf
-    x[:, PAIRS:] *= EMPHASIS
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+def weighted(counts: np.ndarray, idf: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """Weights of the counts, in ``out`` if given, which may be the counts themselves."""
+    out = np.empty(counts.shape, np.result_type(counts, idf)) if out is None else out
+    for at in range(0, len(counts), 256):
+        x = np.log1p(counts[at : at + 256]) * idf
+        x[:, PAIRS:] *= EMPHASIS
+        np.divide(x, np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), out=out[at : at + 256])
+    return out
+
+
+def packed(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """The columns in which a text's counts are not 0, and those counts."""
+    at = np.flatnonzero(counts)
+    return at.astype(np.uint16).tobytes(), counts[at].astype(np.float16).tobytes()
+
+
+def unpacked(at: pa.ChunkedArray, counts: pa.ChunkedArray) -> np.ndarray:
+    """The counts of texts, as ``packed`` gives them."""
+    out = np.zeros((len(at), TERMS), np.float32)
+    for row, a, c in zip(out, at, counts):
+        row[np.frombuffer(a.as_buffer(), np.uint16)] = np.minimum(np.frombuffer(c.as_buffer(), np.float16).astype(np.float32), 60000)
+    return out
 
 
-def fit_space(counts: np.ndarray, labels: np.ndarray, rank: int = 48, seed: int = 7) -> Space:
-    """Truncated singular value decomposition of the sample by subspace iteration."""
+def fit_space(counts: np.ndarray, labels: np.ndarray, rank: int = 48, seed: int = 7, reuse: bool = False) -> Space:
+    """Truncated singular value decomposition of the sample by subspace iteration; ``reuse`` lets weights take the place of counts."""
     if not len(labels):
         return Space(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32), 0.5)
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 1
-    x = weighted(counts, idf)
+    x = weighted(counts, idf, counts if reuse else None)
     q = np.random.default_rng(seed).standard_normal((TERMS, min(rank + 8, len(x)))).astype(np.float32)
     for _ in range(6):
         q, _ = np.linalg.qr(x.T @ (x @ q))
@@ -120,14 +139,18 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [terms(x.as_py() or b"") for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.astype(np.float16).tobytes() for r in rows], pa.binary())], ["id", "label", "terms"])
-
-    got = joined.mapInArrow(run, "id long, label int, terms binary").toArrow().sort_by("id")
-    counts = np.frombuffer(b"".join(got["terms"].to_pylist()), np.float16).reshape(-1, TERMS).astype(np.float32)
-    y = np.array(got["label"].to_pylist(), np.float32)
-    some = counts.any(1)
-    return fit_space(np.minimum(counts, 60000)[some], y[some], rank)
+            at, counts = zip(*[packed(terms(x.as_py() or b"")) for x in b.column(2)]) if b.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.binary()), pa.array(counts, pa.binary())], ["id", "label", "at", "counts"])
+
+    # The driver holds the counts once, and those of a text only where it has terms.
+    got = joined.mapInArrow(run, "id long, label int, at binary, counts binary").toArrow()
+    got = got.filter(pc.greater(pc.binary_length(got["at"]), 0)).sort_by("id")
+    y, counts = got["label"].to_numpy().astype(np.float32), unpacked(got["at"], got["counts"])
+    del got
+    space = fit_space(counts, y, rank, reuse=True)
+    del counts
+    release()
+    return space
 
 
 def score(docs: DataFrame, space: Space, text_col: str = "text", to: str = "score", k: int = 15, power: float = 8.0, keep: bool = True) -> DataFrame:

@@ -1,5 +1,7 @@
 """Quality scores: accuracy on the held-out part, and odd tables; the pipeline against its parts."""
 
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -47,6 +49,24 @@ def test_votes_are_exact_neighbours():
             assert abs(got[i] - (w * labels[near[:5]]).sum() / w.sum()) < 1e-4
 
 
+def test_fit_holds_the_sample_once(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet").crossJoin(spark.range(3)).withColumn("doc_id", F.col("doc_id") * 3 + F.col("id")) for t in ("documents", "labels"))
+    rows = docs.join(labels, "doc_id").where("quality in (0, 1)").orderBy("doc_id").select("text", "quality").collect()
+    counts = np.stack([quality.terms((r.text or "").encode()) for r in rows]).astype(np.float16).astype(np.float32)
+    some = counts.any(1)
+    assert some.sum() > 1000 and (counts < 60000).all() and all(sum(r.quality == q for r in rows) <= 1500 for q in (0, 1))  # all of them are sampled
+    tracemalloc.start()
+    got = quality.fit(docs, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = quality.fit_space(counts[some], np.array([r.quality for r in rows], np.float32)[some])
+    for name in ("idf", "axes", "voters", "labels"):
+        assert np.array_equal(getattr(got, name), getattr(want, name)), name
+    # the counts, 256 texts' weights on the way (three arrays) and the search's matrices; copies of all counts don't fit
+    assert peak < counts[some].nbytes + 4 * 256 * quality.TERMS * 4 + (8 << 20)
+
+
 def test_odd_tables(spark):
     docs = spark.createDataFrame([(1, "good text here", "x"), (2, "BAD!!! 999", "y"), (3, None, "z"), (4, "", "z"), (None, "w " * 100000, "z"), (1, "good text here", "x")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (9, None), (8, 1), (1, 1), (2, 5)], "doc_id long, quality int")
