@@ -1,24 +1,130 @@
 """How far batches separate in a space of few components: PERMANOVA, silhouette, kBET, LISI.
 
 Input: points (sample_id, batch, coords array<double>). Observed statistics of PERMANOVA are sums. Distances
-between all samples are the statistic's own definition, so the others take time quadratic in samples: points
-are broadcast behind a check of their size, and each task compares its own rows, in blocks, with all.
+between all samples are the statistic's own definition of silhouette and LISI, so these take time quadratic in
+samples, but neither memory nor exchanged rows: points are packed into blocks by order of sample_id and kept in
+the shared checkpoint folder; a task holds one block and reads the blocks of all one after another.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import RDD, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstat.functions.tails import gammaincc
+from loomstat.operators.layout import cut
 
-#: Samples whose coordinates may be broadcast; beyond it the quadratic diagnostics raise.
+#: Samples aimed at in a block (least, most; twice as many at the very most), rows of a block compared at once with another, pairs whose differences are taken at once.
+FEWEST, BLOCK, STRIP, PAIRS = 128, 4096, 128, 1 << 16
+#: Samples whose coordinates may be broadcast; beyond it the silhouette raises.
 MOST_POINTS = 2_000_000
-BLOCK = 512
+#: Of squared distances below this share of the squared norms too little is left in ``x x + y y - 2 x y``.
+NEAR = 1e-6
+
+
+class Blocks:
+    """Points packed by order of sample_id: ``df(part, seq, n, codes binary, x binary)``, float64 rows and int32 positions in ``names``."""
+
+    def __init__(self, points: DataFrame):
+        rows = points.where("batch is not null").select("sample_id", F.col("batch").cast("string").alias("batch"), F.col("coords").cast("array<double>").alias("coords"))
+        sizes = {r["batch"]: r["count"] for r in rows.groupBy("batch").count().collect()}
+        self.spark, self.names, self.n = points.sparkSession, sorted(sizes), sum(sizes.values())
+        self.counts = np.array([sizes[b] for b in self.names], dtype=np.int64)
+        aim = min(BLOCK, max(FEWEST, self.n // (4 * self.spark.sparkContext.defaultParallelism)))
+        names = pa.array(self.names, pa.string())
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, seq, held = TaskContext.get().partitionId(), 0, []
+
+            def block(k: int) -> pa.RecordBatch:
+                t = pa.Table.from_batches(held).combine_chunks()
+                own, left = t.slice(0, k), t.slice(k)
+                held[:] = left.to_batches()
+                coords = own["coords"].combine_chunks()
+                if coords.null_count or len(pc.unique(pc.list_value_length(coords))) > 1:
+                    raise ValueError("points without coordinates or of different dimensions")
+                x = coords.flatten().to_numpy(zero_copy_only=False).astype(float)
+                codes = pc.index_in(own["batch"], value_set=names).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int32)
+                return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "n": k, "codes": codes.tobytes(), "x": x.tobytes()}], schema)
+
+            for b in batches:
+                held.append(b)
+                while sum(map(len, held)) >= 2 * aim:
+                    yield block(2 * aim)
+                    seq += 1
+            if k := sum(map(len, held)):
+                yield block(k)
+
+        schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n", pa.int32()), ("codes", pa.binary()), ("x", pa.binary())])
+        sorted_rows = rows.repartitionByRange(max(1, -(-self.n // aim)), "sample_id").sortWithinPartitions("sample_id")
+        self.df = cut(sorted_rows.mapInArrow(pack, "part int, seq int, n int, codes binary, x binary"))
+        meta = sorted((r.part, r.seq, r.n) for r in self.df.select("part", "seq", "n").collect())  # a row per block
+        self.starts = dict(zip([m[:2] for m in meta], np.cumsum([0, *(m[2] for m in meta)])[:-1].tolist()))
+
+    def labels(self) -> np.ndarray:
+        """Positions in ``names`` of all points, in the least bytes that hold them."""
+        kind, starts = np.min_scalar_type(max(len(self.names) - 1, 0)), self.starts
+        out = np.empty(self.n, kind)
+        for first, codes in self.df.select("part", "seq", "codes").rdd.map(lambda r: (starts[r.part, r.seq], np.frombuffer(r.codes, np.int32).astype(kind))).toLocalIterator():
+            out[first : first + len(codes)] = codes
+        return out
+
+
+def _opened(starts: dict, row: Any, dims: int | None) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of the first point, codes and the first ``dims`` coordinates of a block."""
+    x = np.frombuffer(row.x).reshape(row.n, -1)
+    return starts[row.part, row.seq], np.frombuffer(row.codes, np.int32), x if dims is None else np.ascontiguousarray(x[:, :dims])
+
+
+def blocks_of(points: DataFrame | Blocks) -> Blocks:
+    return points if isinstance(points, Blocks) else Blocks(points)
+
+
+def _against_all(blocks: Blocks, own: RDD | None, begin: Callable[..., Any], schema: str, dims: int | None = None) -> DataFrame:
+    """Rows of ``begin(element).rows()`` after ``add(first row, codes, x)`` of every block, for each element of ``own``
+    (default: each block, given like to ``add``). Elements begin with what tells them apart; all blocks pass by each in any order."""
+    starts, given = blocks.starts, own is not None
+
+    def run(pairs: Iterator[tuple[Any, Any]]) -> Iterator[tuple]:
+        states: dict = {}
+        last, right = None, None
+        for left, row in pairs:
+            key = left[0] if given else (left.part, left.seq)
+            if key not in states:
+                states[key] = begin(*left) if given else begin(*_opened(starts, left, dims))
+            if last is not row:
+                last, right = row, _opened(starts, row, dims)
+            states[key].add(*right)
+        for state in states.values():
+            yield from state.rows()
+
+    stream = blocks.df.coalesce(1).rdd  # read on from block to block by each task, never gathered
+    return blocks.spark.createDataFrame((blocks.df.rdd if own is None else own).cartesian(stream).mapPartitions(run), schema, verifySchema=False)
+
+
+def _extended(x: np.ndarray, left: bool) -> np.ndarray:
+    """Rows whose products are squared distances."""
+    square, one = (x * x).sum(1)[:, None], np.ones((len(x), 1))
+    return np.concatenate([-2 * x, square, one] if left else [x, one, square], axis=1)
+
+
+def _exact(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of pairs as they are defined: squares of differences summed from the first coordinate to the last."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), PAIRS):
+        to = slice(at, at + PAIRS)
+        d = x[i[to]] - y[j[to]]
+        d *= d
+        out[to] = np.sqrt(np.cumsum(d, axis=1, out=d)[:, -1])
+    return out
 
 
 def permanova(points: DataFrame, permutations: int = 999, seed: int = 42) -> DataFrame:
@@ -84,7 +190,7 @@ def _per_point(points: DataFrame, schema: str, run: Callable[[np.ndarray, np.nda
         square = (x**2).sum(1)
         for pdf in batches:
             for b in pdf["id"]:
-                rows = np.arange(int(b) * BLOCK, min(n, (int(b) + 1) * BLOCK))
+                rows = np.arange(int(b) * 512, min(n, (int(b) + 1) * 512))
                 scale = square[rows][:, None] + square[None, :]
                 d = np.maximum(scale - 2 * (x[rows] @ x.T), 0)
                 i, j = np.nonzero(d <= 1e-6 * scale)  # of near ones nothing is left in the difference
@@ -92,7 +198,7 @@ def _per_point(points: DataFrame, schema: str, run: Callable[[np.ndarray, np.nda
                 d = np.sqrt(d)
                 yield pd.DataFrame(run(d, rows, labels, x, names))
 
-    return spark.range(0, -(-n // BLOCK) or 1, 1, max(1, min(-(-n // BLOCK), 4096))).mapInPandas(blocks, schema)
+    return spark.range(0, -(-n // 512) or 1, 1, max(1, min(-(-n // 512), 4096))).mapInPandas(blocks, schema)
 
 
 def silhouettes(points: DataFrame) -> DataFrame:
@@ -119,25 +225,69 @@ def silhouette(points: DataFrame) -> DataFrame:
     return silhouettes(points).agg(F.avg("silhouette").alias("silhouette"))
 
 
-def neighbour_shares(points: DataFrame, k: int) -> DataFrame:
+class _Nearest:
+    """The ``k`` nearest others of a block's points among the blocks so far: ``d``, then ``row``, ascending in each row.
+
+    Products of whole blocks only pick pairs within a margin for rounding; distances that decide are taken from differences."""
+
+    def __init__(self, names: list[str], k: int, rows: np.ndarray, codes: np.ndarray, x: np.ndarray):
+        self.names, self.k, self.own, self.codes, self.x = names, k, rows, codes, x
+        self.left, self.square = _extended(x, True), (x * x).sum(1)
+        self.d, self.row, self.code = np.full((len(x), k), np.inf), np.full((len(x), k), np.iinfo(np.int64).max), np.full((len(x), k), -1)
+
+    def add(self, first: int, codes: np.ndarray, x: np.ndarray) -> None:
+        right, most, k = _extended(x, False), (x * x).sum(1).max(), self.k
+        rounding = 8 * (x.shape[1] + 8) * (self.square + most)
+        left, eps = self.left, np.finfo(float).eps
+        # Single precision, where its margin is small beside the neighbourhoods and nothing in it over- or underflows.
+        if 1e-20 < self.square.max() + most < 1e30 and (rounding * (single := np.finfo(np.float32).eps) <= 0.02 * self.d[:, -1] ** 2).mean() > 0.9 and np.isfinite(self.d).all():
+            left, right, eps = self.left.astype(np.float32), right.astype(np.float32), single
+        right = right.T
+        for at in range(0, len(self.x), STRIP):
+            d = left[at : at + STRIP] @ right
+            margin = rounding[at : at + STRIP] * eps
+            last = self.d[at : at + STRIP, -1]
+            limit = last * last * (1 + 1e-12) + margin
+            if len(x) > k + 1 and np.isinf(last).any():  # the point itself may be among them, so one more
+                limit = np.minimum(limit, np.partition(d, k, axis=1)[:, k] + 2 * margin)
+            some = np.flatnonzero(d.min(1) <= limit)
+            i, j = np.divmod(np.flatnonzero(d[some] <= limit[some][:, None]), len(x))
+            i = some[i]
+            other = self.own[at + i] != first + j
+            i, j = i[other], j[other]
+            exact = _exact(self.x[at : at + STRIP], x, i, j)
+            better = (exact < last[i]) | ((exact == last[i]) & (first + j < self.row[at + i, -1]))
+            if better.any():
+                self._merge(at + i[better], exact[better], first + j[better], codes[j[better]])
+
+    def _merge(self, i: np.ndarray, d: np.ndarray, row: np.ndarray, code: np.ndarray) -> None:
+        at = np.unique(i)
+        i = np.concatenate([np.repeat(at, self.k), i])
+        d, row, code = np.concatenate([self.d[at].ravel(), d]), np.concatenate([self.row[at].ravel(), row]), np.concatenate([self.code[at].ravel(), code])
+        order = np.lexsort((row, d, i))
+        begins = np.searchsorted(i[order], at)
+        order = order[begins[:, None] + np.arange(self.k)]
+        self.d[at], self.row[at], self.code[at] = d[order], row[order], code[order]
+
+    def rows(self) -> Iterator[tuple]:
+        n, b = len(self.x), len(self.names)
+        i, j = np.nonzero(self.code >= 0)
+        counts = np.bincount(i * b + self.code[i, j], minlength=n * b).reshape(n, b)
+        return zip(self.own.tolist(), [self.names[c] for c in self.codes], counts.tolist())
+
+
+def neighbour_shares(points: DataFrame | Blocks, k: int, dims: int | None = None) -> DataFrame:
     """(row, batch, shares): for each point, the batch counts among its ``k`` nearest others; ties to the earlier sample."""
-
-    def run(d, rows, labels, x, names):
-        at = np.searchsorted(names, labels)
-        d[np.arange(len(rows)), rows] = np.inf
-        most = min(k, d.shape[1] - 1)
-        near = np.argsort(d, axis=1, kind="stable")[:, :most]
-        counts = np.stack([(at[near] == g).sum(1) for g in range(len(names))], axis=1)
-        return {"row": rows, "batch": labels[rows], "shares": counts.tolist()}
-
-    return _per_point(points, "row long, batch string, shares array<long>", run)
+    blocks = blocks_of(points)
+    names, most = blocks.names, max(1, min(k, blocks.n - 1))
+    return _against_all(blocks, None, lambda first, codes, x: _Nearest(names, most, first + np.arange(len(x)), codes, x), "row long, batch string, shares array<long>", dims)
 
 
-def lisi(points: DataFrame, k: int = 30) -> DataFrame:
+def lisi(points: DataFrame | Blocks, k: int = 30, dims: int | None = None) -> DataFrame:
     """Median over points of the inverse Simpson index of batches among ``k`` neighbours."""
     total = F.aggregate("shares", F.lit(0).cast("long"), lambda a, b: a + b)
     squares = F.aggregate("shares", F.lit(0.0), lambda a, b: a + b * b)
-    return neighbour_shares(points, k).select(F.try_divide(total * total, squares).alias("v")).agg(F.median("v").alias("lisi_batch"))
+    return neighbour_shares(points, k, dims).select(F.try_divide(total * total, squares).alias("v")).agg(F.median("v").alias("lisi_batch"))
 
 
 def kbet(points: DataFrame, k: int | None = None, alpha: float = 0.05, n_test: int = 500, seed: int = 42) -> DataFrame:
