@@ -290,20 +290,29 @@ def lisi(points: DataFrame | Blocks, k: int = 30, dims: int | None = None) -> Da
     return neighbour_shares(points, k, dims).select(F.try_divide(total * total, squares).alias("v")).agg(F.median("v").alias("lisi_batch"))
 
 
-def kbet(points: DataFrame, k: int | None = None, alpha: float = 0.05, n_test: int = 500, seed: int = 42) -> DataFrame:
-    """Share of at most ``n_test`` drawn points whose neighbourhood differs from the batch sizes by a chi-squared test."""
-    sizes = points.where("batch is not null").groupBy("batch").count().orderBy(F.col("batch").cast("string")).collect()
-    n = sum(r["count"] for r in sizes)
-    spark = points.sparkSession
-    if len(sizes) < 2 or n < 3:
-        return spark.createDataFrame([(None,)], "kbet_rejection_rate double")
+def kbet(points: DataFrame | Blocks, k: int | None = None, alpha: float = 0.05, n_test: int = 500, seed: int = 42, dims: int | None = None) -> DataFrame:
+    """Share of at most ``n_test`` drawn points whose neighbourhood differs from the batch sizes by a chi-squared test.
+
+    Only the drawn points look for neighbours, a few to a task, each among all points."""
+    blocks = blocks_of(points)
+    n, names, starts = blocks.n, blocks.names, blocks.starts
+    if len(names) < 2 or n < 3:
+        return blocks.spark.createDataFrame([(None,)], "kbet_rejection_rate double")
     k = min(k or min(50, max(10, round(0.1 * n))), n - 1)
-    share = [r["count"] / n for r in sizes]
-    drawn = np.random.default_rng(seed).choice(n, size=min(n_test, n), replace=False)
-    chosen = spark.createDataFrame(pd.DataFrame({"row": drawn.astype("int64")}))
-    near = neighbour_shares(points, k).join(F.broadcast(chosen), "row")  # n_test rows at most
+    share = [int(c) / n for c in blocks.counts]
+    drawn = np.sort(np.random.default_rng(seed).choice(n, size=min(n_test, n), replace=False))
+
+    def pick(row: Any) -> list[tuple]:
+        first, codes, x = _opened(starts, row, dims)
+        at = drawn[(drawn >= first) & (drawn < first + len(x))] - first
+        return [(first + at, codes[at], x[at])] if len(at) else []
+
+    rows, codes, x = (np.concatenate(c) for c in zip(*blocks.df.rdd.flatMap(pick).collect()))  # n_test points at most
+    groups = np.array_split(np.arange(len(rows)), min(len(rows), 32))
+    own = blocks.spark.sparkContext.parallelize([(at, rows[g], codes[g], x[g]) for at, g in enumerate(groups)], len(groups))
+    near = _against_all(blocks, own, lambda _, *of: _Nearest(names, k, *of), "row long, batch string, shares array<long>", dims)
     chi = sum((F.col("shares")[i] - k * p) * (F.col("shares")[i] - k * p) / (k * p) for i, p in enumerate(share))
-    limit = _chi2_limit(alpha, len(sizes) - 1)
+    limit = _chi2_limit(alpha, len(names) - 1)
     return near.select(F.avg((chi > limit).cast("double")).alias("kbet_rejection_rate"))
 
 

@@ -53,3 +53,20 @@ def test_neighbours_are_exact_in_any_order(scale):
     for first in rng.permutation(9) * 100:
         state.add(int(first), codes[first : first + 100], x[first : first + 100])
     assert np.array_equal(state.row, want[500:700])
+
+
+def test_only_drawn_points_look_for_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(diagnostics, "BLOCK", 128)
+    points, x, batch = made(spark)
+    looked, real = [], diagnostics._against_all
+
+    def spied(blocks, own, *more):
+        looked.append(sum(len(rows) for _, rows, _, _ in own.collect()))
+        return real(blocks, own, *more)
+
+    monkeypatch.setattr(diagnostics, "_against_all", spied)
+    got = diagnostics.kbet(points, n_test=40).first()[0]
+    drawn = np.random.default_rng(42).choice(900, size=40, replace=False)
+    share = np.bincount(batch) / 900
+    chi = ((nearest_counts(x, batch, 50)[drawn] - 50 * share) ** 2 / (50 * share)).sum(1)
+    assert looked == [40] and got == pytest.approx((chi > 5.991464547107979).mean())
