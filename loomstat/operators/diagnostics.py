@@ -24,7 +24,7 @@ from loomstat.operators.layout import cut
 
 #: Samples aimed at in a block (least, most; twice as many at the very most), rows of a block compared at once with another, pairs whose differences are taken at once.
 FEWEST, BLOCK, STRIP, PAIRS = 128, 4096, 128, 1 << 16
-#: Samples whose coordinates may be broadcast; beyond it the silhouette raises.
+#: Samples whose coordinates may be broadcast for permutations; beyond it they raise.
 MOST_POINTS = 2_000_000
 #: Of squared distances below this share of the squared norms too little is left in ``x x + y y - 2 x y``.
 NEAR = 1e-6
@@ -179,50 +179,49 @@ def _local(points: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, labels, np.unique(labels)
 
 
-def _per_point(points: DataFrame, schema: str, run: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict]) -> DataFrame:
-    """``run(distances of a block to all, rows of the block, labels, x, names)`` over blocks of points."""
-    spark = points.sparkSession
-    shared = spark.sparkContext.broadcast(_local(points))
-    n = len(shared.value[0])
+class _Means:
+    """Sums of distances from the points of a block to those of each batch."""
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, labels, names = shared.value
-        square = (x**2).sum(1)
-        for pdf in batches:
-            for b in pdf["id"]:
-                rows = np.arange(int(b) * 512, min(n, (int(b) + 1) * 512))
-                scale = square[rows][:, None] + square[None, :]
-                d = np.maximum(scale - 2 * (x[rows] @ x.T), 0)
-                i, j = np.nonzero(d <= 1e-6 * scale)  # of near ones nothing is left in the difference
-                d[i, j] = ((x[rows[i]] - x[j]) ** 2).sum(1)
-                d = np.sqrt(d)
-                yield pd.DataFrame(run(d, rows, labels, x, names))
-
-    return spark.range(0, -(-n // 512) or 1, 1, max(1, min(-(-n // 512), 4096))).mapInPandas(blocks, schema)
-
-
-def silhouettes(points: DataFrame) -> DataFrame:
-    """(row, silhouette) per point; 0 in a batch of one."""
-
-    def run(d, rows, labels, x, names):
-        at = np.searchsorted(names, labels)
-        sums = np.stack([d[:, at == g].sum(1) for g in range(len(names))], axis=1)
-        counts = np.bincount(at, minlength=len(names))
-        own = at[rows]
-        i = np.arange(len(rows))
-        inside = sums[i, own] / np.maximum(counts[own] - 1, 1)
-        means = sums / counts
+    def __init__(self, counts: np.ndarray, first: int, codes: np.ndarray, x: np.ndarray):
+        self.counts, self.first, self.codes, self.x = counts, first, codes, x
+        self.left, self.square = _extended(x, True), (x * x).sum(1)
+        self.sums = np.zeros((len(x), len(counts)))
+
+    def add(self, first: int, codes: np.ndarray, x: np.ndarray) -> None:
+        right, square = _extended(x, False).T, (x * x).sum(1)
+        member = np.zeros((len(x), len(self.counts)))
+        member[np.arange(len(x)), codes] = 1
+        for at in range(0, len(self.x), STRIP):
+            d = self.left[at : at + STRIP] @ right
+            own = self.square[at : at + STRIP]
+            some = np.flatnonzero(d.min(1) <= NEAR * (own + square.max()))
+            i, j = np.divmod(np.flatnonzero(d[some] <= NEAR * (own[some][:, None] + square)), len(x))  # of near ones nothing is left in the difference
+            i = some[i]
+            d[i, j] = 0
+            np.sqrt(d, out=d)
+            d[i, j] = _exact(self.x[at : at + STRIP], x, i, j)
+            self.sums[at : at + STRIP] += d @ member
+
+    def rows(self) -> Iterator[tuple]:
+        own, i, counts = self.codes, np.arange(len(self.x)), self.counts
+        inside = self.sums[i, own] / np.maximum(counts[own] - 1, 1)
+        means = self.sums / counts
         means[i, own] = np.inf
         other = means.min(1)
         with np.errstate(invalid="ignore", divide="ignore"):
             s = np.where((counts[own] > 1) & np.isfinite(other), (other - inside) / np.maximum(np.maximum(inside, other), 1e-300), 0.0)
-        return {"row": rows, "silhouette": s}
+        return zip((self.first + i).tolist(), s.tolist())
 
-    return _per_point(points, "row long, silhouette double", run)
+
+def silhouettes(points: DataFrame | Blocks, dims: int | None = None) -> DataFrame:
+    """(row, silhouette) per point; 0 in a batch of one. ``dims``: only so many coordinates count."""
+    blocks = blocks_of(points)
+    counts = blocks.counts
+    return _against_all(blocks, None, lambda *own: _Means(counts, *own), "row long, silhouette double", dims)
 
 
-def silhouette(points: DataFrame) -> DataFrame:
-    return silhouettes(points).agg(F.avg("silhouette").alias("silhouette"))
+def silhouette(points: DataFrame | Blocks, dims: int | None = None) -> DataFrame:
+    return silhouettes(points, dims).agg(F.avg("silhouette").alias("silhouette"))
 
 
 class _Nearest:

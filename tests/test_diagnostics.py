@@ -70,3 +70,17 @@ def test_only_drawn_points_look_for_neighbours(spark, monkeypatch):
     share = np.bincount(batch) / 900
     chi = ((nearest_counts(x, batch, 50)[drawn] - 50 * share) ** 2 / (50 * share)).sum(1)
     assert looked == [40] and got == pytest.approx((chi > 5.991464547107979).mean())
+
+
+def test_silhouettes_come_from_blocks(spark, monkeypatch):
+    monkeypatch.setattr(diagnostics, "BLOCK", 128)
+    points, x, batch = made(spark)
+    d = distances(x)
+    sums = np.stack([d[:, batch == g].sum(1) for g in range(3)], axis=1)
+    count, i = np.bincount(batch), np.arange(900)
+    inside = sums[i, batch] / (count[batch] - 1)
+    means = sums / count
+    means[i, batch] = np.inf
+    want = (means.min(1) - inside) / np.maximum(means.min(1), inside)
+    got = diagnostics.silhouettes(diagnostics.Blocks(points)).toPandas().sort_values("row").silhouette
+    assert np.allclose(got, want, atol=1e-12) and diagnostics.silhouette(points).first()[0] == pytest.approx(want.mean(), abs=1e-12)
