@@ -24,8 +24,6 @@ from loomstat.operators.layout import cut
 
 #: Samples aimed at in a block (least, most; twice as many at the very most), rows of a block compared at once with another, pairs whose differences are taken at once.
 FEWEST, BLOCK, STRIP, PAIRS = 128, 4096, 128, 1 << 16
-#: Samples whose coordinates may be broadcast for permutations; beyond it they raise.
-MOST_POINTS = 2_000_000
 #: Of squared distances below this share of the squared norms too little is left in ``x x + y y - 2 x y``.
 NEAR = 1e-6
 
@@ -127,11 +125,11 @@ def _exact(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.nda
     return out
 
 
-def permanova(points: DataFrame, permutations: int = 999, seed: int = 42) -> DataFrame:
+def permanova(points: DataFrame, permutations: int = 999, seed: int = 42, blocks: Blocks | None = None) -> DataFrame:
     """One row: permanova_f, permanova_r2, permanova_p of Euclidean distances.
 
     For Euclidean distances the sums of squares are those around means, so a permutation costs one pass over
-    the points and no distances. Permutations are dealt to tasks by number and seeded by it."""
+    the points and no distances. Permutations are dealt to tasks by number and seeded by it; all labels are sent, points pass by in blocks."""
     rows = points.where("batch is not null").select("batch", F.posexplode("coords").alias("dim", "x"))
     per = rows.groupBy("batch", "dim").agg(F.count("*").alias("n"), F.avg("x").alias("m"), (F.var_pop("x") * F.count("*")).alias("ss"))
     got = per.toPandas()  # batches x components
@@ -147,38 +145,36 @@ def permanova(points: DataFrame, permutations: int = 999, seed: int = 42) -> Dat
     if within <= 0:
         return spark.createDataFrame([(float("inf"), 1.0, None)], schema)
     f = (between / (k - 1)) / (within / (n - k))
-    x, labels, names = _local(points)
-    shared = spark.sparkContext.broadcast((x - x.mean(0), np.searchsorted(names, labels)))
     total = between + within
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c, g = shared.value
-        count = np.bincount(g, minlength=k)
-        for pdf in batches:
-            hits = 0
-            for i in pdf["id"]:
-                own = np.random.default_rng([seed, int(i)]).permutation(g)
-                sums = np.stack([np.bincount(own, weights=c[:, d], minlength=k) for d in range(c.shape[1])])
-                ssb = float((sums**2 / count).sum())
-                hits += (ssb / (k - 1)) / (max(total - ssb, 1e-300) / (n - k)) >= f - 1e-12 * f
-            yield pd.DataFrame({"hits": [hits]})
-
-    hits = spark.range(permutations).mapInPandas(run, "hits long").agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("h"))
+    if not permutations:
+        return spark.createDataFrame([(f, between / total, 1.0)], schema)
+    blocks = blocks or Blocks(points)
+    shared = spark.sparkContext.broadcast(blocks.labels())
+    middle, counts = grand.sort_index().to_numpy(float), blocks.counts
+    least = (f - 1e-12 * f) * (k - 1) / (n - k)
+
+    class Permuted:
+        def __init__(self, _: int, numbers: list[int]):
+            self.own = [np.random.default_rng([seed, i]).permutation(shared.value) for i in numbers]
+            self.sums = np.zeros((len(numbers), len(middle), k))
+
+        def add(self, first: int, codes: np.ndarray, x: np.ndarray) -> None:
+            columns = np.ascontiguousarray((x - middle).T)
+            for sums, own in zip(self.sums, self.own):
+                at = own[first : first + len(x)].astype(np.intp)
+                for d, c in enumerate(columns):
+                    sums[d] += np.bincount(at, weights=c, minlength=k)
+
+        def rows(self) -> list[tuple]:
+            ssb = (self.sums**2 / counts).sum((1, 2))
+            return [(int((ssb / np.maximum(total - ssb, 1e-300) >= least).sum()),)]
+
+    each = max(1, min(-(-permutations // 64), (16 << 20) // shared.value.nbytes))  # labels of so many permutations at once in a task
+    own = spark.sparkContext.parallelize([(at, list(range(at, min(at + each, permutations)))) for at in range(0, permutations, each)], -(-permutations // each))
+    hits = _against_all(blocks, own, Permuted, "hits long").agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("h"))
     return hits.select(F.lit(f).alias("permanova_f"), F.lit(between / total).alias("permanova_r2"), ((F.col("h") + 1) / F.lit(float(permutations + 1))).alias("permanova_p"))
 
 
-def _local(points: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Coordinates, labels and the sorted names of batches, after a check of the number of points."""
-    rows = points.where("batch is not null").select("sample_id", "coords", F.col("batch").cast("string").alias("batch"))
-    n = rows.count()
-    if n > MOST_POINTS:
-        raise ValueError(f"{n} points; distances between all of more than {MOST_POINTS} are out of reach")
-    got = rows.orderBy("sample_id").toPandas()
-    x = np.stack(got["coords"].tolist()).astype(float) if n else np.zeros((0, 1))
-    labels = got["batch"].to_numpy(str)
-    return x, labels, np.unique(labels)
-
-
 class _Means:
     """Sums of distances from the points of a block to those of each batch."""
 
@@ -340,8 +336,8 @@ def global_diagnostics(arrays: DataFrame, label: str, components: int = 20, perm
     long = points.select("batch", F.posexplode("coords").alias("dim", "value")).where("dim < 2").withColumn("feature", F.col("dim").cast("string"))
     ps = {r.feature: r.anova_p for r in anova(long).collect()}
     first = lambda df: df.first()[0] if size.b > 1 else None
-    per = permanova(points, permutations).first()
-    ten = points.withColumn("coords", F.slice("coords", 1, 10))
+    blocks = Blocks(points)  # packed once for all that follows
+    per = permanova(points, permutations, blocks=blocks).first()
     ratio = pca.explained_ratio_.tolist()
-    row = (m, ratio[0], ratio[1] if m > 1 else None, ps.get("0"), ps.get("1"), *per, first(silhouette(ten)), first(kbet(ten)), first(lisi(ten)))
+    row = (m, ratio[0], ratio[1] if m > 1 else None, ps.get("0"), ps.get("1"), *per, first(silhouette(blocks, 10)), first(kbet(blocks, dims=10)), first(lisi(blocks, dims=10)))
     return spark.createDataFrame([row], names).select(*head, "*")

@@ -84,3 +84,20 @@ def test_silhouettes_come_from_blocks(spark, monkeypatch):
     want = (means.min(1) - inside) / np.maximum(means.min(1), inside)
     got = diagnostics.silhouettes(diagnostics.Blocks(points)).toPandas().sort_values("row").silhouette
     assert np.allclose(got, want, atol=1e-12) and diagnostics.silhouette(points).first()[0] == pytest.approx(want.mean(), abs=1e-12)
+
+
+def test_permutations_over_blocks_and_points_packed_once(spark, monkeypatch):
+    monkeypatch.setattr(diagnostics, "BLOCK", 128)
+    points, x, batch = made(spark, copies=False)
+    x, total = x - x.mean(0), ((x - x.mean(0)) ** 2).sum()
+    count = np.bincount(batch)
+    between = lambda g: sum((x[g == b].sum(0) ** 2 / count[b]).sum() for b in range(3))
+    ratio = lambda s: s / 2 / ((total - s) / 897)
+    f = ratio(between(batch))
+    hits = sum(ratio(between(np.random.default_rng([42, i]).permutation(batch))) >= f - 1e-12 * f for i in range(19))
+    got = diagnostics.permanova(points, 19).first()
+    assert got.permanova_f == pytest.approx(f) and got.permanova_p == pytest.approx((hits + 1) / 20)
+    packs, real = [], diagnostics.Blocks.__init__
+    monkeypatch.setattr(diagnostics.Blocks, "__init__", lambda self, points: (packs.append(1), real(self, points))[1])
+    row = diagnostics.global_diagnostics(points.withColumnRenamed("coords", "features"), "raw", 12, 9).first()
+    assert len(packs) == 1 and row.permanova_f is not None and row.silhouette_pc is not None and row.lisi_batch is not None
